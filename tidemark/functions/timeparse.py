@@ -25,6 +25,15 @@ EPOCH = r"^(\d{10}|\d{13})$"
 ZONED = r"(Z|UTC|GMT|(T.*|:\d\d|:\d\d[.,]\d+|UTC|GMT)\s*[+-]\d{2}:?\d{2}|UTC[+-]\d{2}|GMT[+-]\d{2})$|^\d+$"
 
 
+def fence(c: Column) -> Column:
+    """The bigint `c`, computed where it stands.
+
+    A filter on a column is otherwise pushed below the projections that made it, with their
+    expressions put in for every mention; for deep expressions that grows without bound and plans never come out.
+    """
+    return c + (F.spark_partition_id() * 0)
+
+
 def _int(c: Column) -> Column:
     return c.try_cast("int")
 
@@ -78,7 +87,7 @@ def parse_stamps(df: DataFrame, raw: str, order: str, prefix: str = "_tp") -> Da
     ms = ((((days * 24 + h) * 60 + mi - offset) * 60) + s) * 1000 + c("f")
     digits = c("t").try_cast("bigint")
     df = df.withColumns({
-        p("ms"): F.when(k == 5, F.when(F.length(c("t")) == 10, digits * 1000).otherwise(digits)).when(valid, ms),
+        p("ms"): fence(F.when(k == 5, F.when(F.length(c("t")) == 10, digits * 1000).otherwise(digits)).when(valid, ms)),
         p("wall"): F.coalesce((k != 5) & z.isNull(), F.lit(False)),
     })
     return df.drop(*(p(n) for n in ("t", "k", "y", "mo", "d", "h", "mi", "rest", "s", "f", "z")))
@@ -120,7 +129,7 @@ def resolve_walls(df: DataFrame, ms: str, wall: Column, zone: str, prefix: str =
     second = F.when(oa == ob, w - oa).otherwise(F.when(_offset(w - ob, z) == ob, w - ob))
     df = df.withColumns({f"{prefix}_1": F.when(wall, first).otherwise(w), f"{prefix}_2": F.when(wall, second).otherwise(w)})
     one, two = F.col(f"{prefix}_1"), F.col(f"{prefix}_2")
-    return df.withColumns({f"{prefix}_early": F.least(one, two), f"{prefix}_late": F.greatest(one, two)}).drop(a, b, f"{prefix}_1", f"{prefix}_2")
+    return df.withColumns({f"{prefix}_early": fence(F.least(one, two)), f"{prefix}_late": fence(F.greatest(one, two))}).drop(a, b, f"{prefix}_1", f"{prefix}_2")
 
 
 def pick_instant(early: Column, late: Column, received_ms: Column | None = None, lasts_ms: int = BAR_MS) -> Column:

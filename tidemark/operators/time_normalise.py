@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeparse import ZONED, epoch_ms, parse_stamps, pick_instant, resolve_walls
+from ..functions.timeparse import ZONED, epoch_ms, fence, parse_stamps, pick_instant, resolve_walls
 from ..session import scratch
 
 KEYS = ["form", "raw", "zone", "date_order"]
@@ -98,7 +98,7 @@ def with_utc_ms(df: DataFrame, out: str, *, text: str | None = None, epoch: str
     else:
         df = df.withColumn("_tp_ms", epoch_ms(F.col(epoch)))
     df = resolve_walls(df, "_tp_ms", F.coalesce(wall, F.lit(False)), zone)
-    return df.withColumn(out, pick_instant(F.col("_tw_early"), F.col("_tw_late"), received)).drop("_tp_ms", "_tp_wall", "_tw_early", "_tw_late")
+    return df.withColumn(out, fence(pick_instant(F.col("_tw_early"), F.col("_tw_late"), received))).drop("_tp_ms", "_tp_wall", "_tw_early", "_tw_late")
 
 
 def bars_with_time(bars: DataFrame, feeds: DataFrame, columns: list[str]) -> DataFrame:

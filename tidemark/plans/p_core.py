@@ -4,14 +4,81 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import grid, implausible, intervals, profile
 from ..operators import time_normalise as tn
 from ..session import table
 
 
+def _grid(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    bars = tn.bars_with_time(t("quality_audit"), t("feeds"), ["bar_id", "feed", "symbol", "close", "tick_volume"])
+    return grid.bar_grid(bars, t("instruments"))
+
+
+def p1_found(spark, sf_dir):
+    """Open slots without a usable bar, between the first and the last filled slot of each series."""
+    return _grid(spark, sf_dir).where("status <> 'filled'").select("feed", "symbol", "slot_s")
+
+
+def p1_grid(spark, sf_dir):
+    """The whole regular series: filled, interpolated (at most three slots in a row) or marked empty."""
+    return _grid(spark, sf_dir)
+
+
+def _normal(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    return tn.normalise_times(t("quality_audit"), t("tick_replay"), t("feeds"))
+
+
 def p2_found(spark, sf_dir):
+    """Bars and trades whose time was not written in the one form, with their UTC millisecond."""
+    return tn.changed_times(_normal(spark, sf_dir))
+
+
+def p2_times(spark, sf_dir):
+    """The UTC millisecond of every bar and trade; null for a value that is no time."""
+    return _normal(spark, sf_dir).select("src", "row_id", "utc_ms")
+
+
+def p4_found(spark, sf_dir):
+    """Continuous periods with exposure of each book and strategy, and the gaps between them."""
+    log = table(spark, sf_dir, "eur_dd_postmortem").select("book", "strategy", F.unix_millis("open_time").alias("o"), F.unix_millis("close_time").alias("c"))
+    return intervals.periods_and_gaps(log, ["book", "strategy"], "o", "c").select("book", "strategy", "kind", F.col("from").alias("from_ms"), F.col("to").alias("to_ms"))
+
+
+def p6_found(spark, sf_dir):
+    """Findings of each load of each harvester, by itself and against the load before."""
+    return profile.findings(table(spark, sf_dir, "wave_results"), table(spark, sf_dir, "column_rules"))
+
+
+def p6_profile(spark, sf_dir):
+    """The profile itself, one row per load and column."""
+    return profile.profile_loads(table(spark, sf_dir, "wave_results"), table(spark, sf_dir, "column_rules"))
+
+
+def p6_stability(spark, sf_dir):
+    """Population stability index of each load against the load before."""
+    return profile.stability_index(table(spark, sf_dir, "wave_results"), table(spark, sf_dir, "column_rules"))
+
+
+def _flags(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    return tn.changed_times(tn.normalise_times(t("quality_audit"), t("tick_replay"), t("feeds")))
+    bars = tn.bars_with_time(t("quality_audit"), t("feeds"), ["bar_id", "feed", "symbol", "open", "high", "low", "close", "tick_volume"])
+    trades = tn.trades_with_time(t("tick_replay"), t("feeds"), ["trade_id", "feed", "symbol", "exit_reason", "spread_at_fill"])
+    a, b = implausible.implausible_bars(bars), implausible.implausible_spreads(trades)
+    kinds = ["spike", "frozen", "impossible"]
+    return a.select(F.lit("bar").alias("src"), F.col("bar_id").alias("row_id"), *kinds).unionByName(b.select(F.lit("trade").alias("src"), F.col("trade_id").alias("row_id"), *kinds))
+
+
+def p7_found(spark, sf_dir):
+    """Bars and fills that are implausible for their own series."""
+    return _flags(spark, sf_dir).select("src", "row_id")
+
+
+def p7_flags(spark, sf_dir):
+    """The same with the kinds of fault."""
+    return _flags(spark, sf_dir)
 
 
-QUERIES = {"p2_found": p2_found}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_times, p4_found, p6_found, p6_profile, p6_stability, p7_found, p7_flags)}
 SQL: dict[str, str] = {}
