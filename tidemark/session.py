@@ -8,8 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def configure(spark: SparkSession) -> None:
+    """Session settings the engine relies on.
+
+    The JVM never compiles a method of over 8000 bytes; a generated stage above that runs interpreted, many
+    times slower. With this limit Spark splits such stages into smaller methods instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` under `sf_dir`; columns and filters are pushed down by Catalyst."""
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
