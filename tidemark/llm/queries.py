@@ -8,6 +8,9 @@ from ..operators import time_normalise as tn
 from ..session import table
 from . import nearest as near
 from . import percentiles as pct
+from .bpe import encode_texts
+from .mixing import mix
+from .truncation import score_texts, truncation_rates
 
 TWO_MINUTES = 120_000
 
@@ -37,6 +40,35 @@ def p5_counts(spark, sf_dir):
     return _counts(spark, sf_dir)
 
 
+def p8_ids(spark, sf_dir):
+    """Token ids of every document."""
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def _mix(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark, sf_dir):
+    """Target and actual share of each source."""
+    return _mix(spark, sf_dir)[1]
+
+
+def p9_plan(spark, sf_dir):
+    """How often each record of a source with a target is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p10_found(spark, sf_dir):
+    """Reviews whose text was cut."""
+    return score_texts(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
+
+
+def p10_rates(spark, sf_dir):
+    """How often each source truncates."""
+    return truncation_rates(score_texts(table(spark, sf_dir, "documents")))
+
+
 _LONG = """
 WITH v AS (SELECT symbol, strategy, feed, 'spread_at_fill' AS metric, spread_at_fill AS value FROM tick_replay
            UNION ALL SELECT symbol, strategy, feed, 'pnl_net', pnl_net FROM tick_replay),
@@ -54,4 +86,4 @@ p AS (SELECT unnest([1, 5, 25, 50, 75, 95, 99]) AS percentile)
 SELECT dimension, member, metric, CAST(percentile AS INTEGER) AS percentile, value, CAST(total AS BIGINT) AS n, CAST(0 AS INTEGER) AS rank_error
 FROM r, p WHERE (percentile * total + 99) // 100 > upto - n AND (percentile * total + 99) // 100 <= upto""",
 }
-QUERIES = {f.__name__: f for f in (p3_found, p5_percentiles, p5_counts)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_percentiles, p5_counts, p8_ids, p9_mix, p9_plan, p10_found, p10_rates)}
