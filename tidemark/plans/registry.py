@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p_core
+from . import p_core, ref_bars
 
-MODULES = [p_core]
+MODULES = [p_core, ref_bars]
 
 
 def queries() -> dict:
