@@ -65,8 +65,11 @@ def regular_grid(readings: DataFrame, keys: list[str], index: str, values: dict[
     cells = cells.withColumn("_b", _div(F.col("_i"), BLOCK))
     per_block = Window.partitionBy(*keys, "_b").orderBy("_i")
     cells = cells.withColumns({"_n": F.lead("_i").over(per_block), "_nv": F.lead("_v").over(per_block)})
+    # the last cell of each block, with the block's first: one row per block, from the same sort
+    so_far = per_block.rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumns({"_lo": F.first("_i").over(so_far), "_lov": F.first("_v").over(so_far)})
     inner = cells.where("_n > _i + 1").select(*keys, "_i", "_v", "_n", "_nv")
-    edges = cells.groupBy(*keys, "_b").agg(F.max("_i").alias("_i"), F.max_by("_v", "_i").alias("_v"), F.min("_i").alias("_lo"), F.min_by("_v", "_i").alias("_lov"))
+    edges = cells.where("_n IS NULL").select(*keys, "_b", "_i", "_v", "_lo", "_lov")
     per_series = Window.partitionBy(*keys).orderBy("_b")
     outer = edges.withColumns({"_n": F.lead("_lo").over(per_series), "_nv": F.lead("_lov").over(per_series)}).where("_n > _i + 1").select(*keys, "_i", "_v", "_n", "_nv")
     gaps = inner.unionByName(outer).withColumn("_gap", F.col("_n") - F.col("_i") - 1)
