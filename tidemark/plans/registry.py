@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p_core, ref_bars
+from . import p_core, ref_bars, ref_windows
 
-MODULES = [p_core, ref_bars]
+MODULES = [p_core, ref_bars, ref_windows]
 
 
 def queries() -> dict:
