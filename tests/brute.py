@@ -41,7 +41,7 @@ def stamp_ms(text, zone, order, received_ms=None):
         z, (mo, d) = None, (a, b) if order == "mdy" else (b, a)
     elif m := re.fullmatch(r"(?:[A-Z][a-z]{2}, )?(\d\d) ([A-Z][a-z]{2}) (\d{4}) (\d\d):(\d\d):(\d\d) (GMT)", t):
         d, mon, y, h, mi, s, z = m.groups()
-        mo = MON[mon.lower()]
+        mo = MON.get(mon.lower(), 0)
     else:
         return None
     h = int(h)
