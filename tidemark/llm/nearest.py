@@ -67,10 +67,15 @@ def _scan(batches: Iterator[pa.RecordBatch], tolerance: int | None) -> Iterator[
         # the last entity's rows after its last right record wait, with that record before them
         tail = np.flatnonzero((group == group[-1]) & right)
         keep = int(prev[tail[-1]]) if len(tail) else int(np.flatnonzero(group == group[-1])[0])
+        rest = tab.slice(keep)
         if tolerance is not None:  # nothing that comes later is near enough to rows that lie further back
-            keep = max(keep, int(np.flatnonzero((group == group[-1]) & (t >= t[-1] - tolerance))[0]))
-        out = rows(tab, keep, prev, nxt)
-        return out, tab.slice(keep)
+            cut = int(np.flatnonzero((group == group[-1]) & (t >= t[-1] - tolerance))[0])
+            if cut > keep:
+                keep, lead_at = cut, int(prev[cut])
+                rest = tab.slice(cut)
+                if 0 <= lead_at < cut:  # the right record before the rows that wait goes with them
+                    rest = pa.concat_tables([tab.slice(lead_at, 1), rest])
+        return rows(tab, keep, prev, nxt), rest
 
     for batch in batches:
         if not batch.num_rows:
