@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p_core, ref_bars, ref_trades, ref_windows, streams
+from . import p_core, ref_bars, ref_more, ref_trades, ref_windows, streams
 
-MODULES = [p_core, ref_bars, ref_windows, ref_trades, streams]
+MODULES = [p_core, ref_bars, ref_windows, ref_trades, ref_more, streams]
 
 
 def queries() -> dict:
