@@ -39,29 +39,36 @@ def phase_space(readings: DataFrame, keys: list[str], id: str, time: str, value:
         eq = F.col(c) == F.col(f"_p.{c}")
         equal = eq if equal is None else equal & eq
     timed = timed.withColumns({"_new": F.col(ok) & ~F.coalesce(equal, F.lit(False)), "_step": F.col(ok) & ~F.coalesce(equal & (F.col(time) == F.col(f"_p.{time}")), F.lit(False))})
-    timed = timed.withColumn("_run", F.when(F.col(ok), F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    timed = timed.select(*dict.fromkeys([*cols, *same]), (x - F.col("_x1")).alias("_d1"), (x - 2 * F.col("_x1") + F.col("_x2")).alias("_d2"), "_chunk", "_run", "_step")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    timed = timed.withColumns({"_run": F.when(F.col(ok), F.sum(F.col("_new").cast("int")).over(so_far)), "_steps": F.sum(F.col("_step").cast("int")).over(so_far)})
+    # different times of the run up to this row: all so far less those before the run began
+    timed = timed.withColumn("_times", F.when(F.col(ok), F.col("_steps") - F.max(F.when(F.col("_new"), F.col("_steps") - 1)).over(so_far)))
+    timed = timed.select(*dict.fromkeys([*cols, *same]), (x - F.col("_x1")).alias("_d1"), (x - 2 * F.col("_x1") + F.col("_x2")).alias("_d2"), "_chunk", "_run", "_times")
     none = lambda t: F.lit(None).cast(t)
-    loose = readings.where(F.col(time).isNull()).select(*dict.fromkeys([*cols, *same]), none("double").alias("_d1"), none("double").alias("_d2"), none("int").alias("_chunk"), none("bigint").alias("_run"), F.lit(False).alias("_step"))
+    loose = readings.where(F.col(time).isNull()).select(*dict.fromkeys([*cols, *same]), none("double").alias("_d1"), none("double").alias("_d2"), none("int").alias("_chunk"), none("bigint").alias("_run"), none("bigint").alias("_times"))
     return timed.unionByName(loose)
 
 
 def frozen(phase: DataFrame, keys: list[str], same: list[str], least: int) -> DataFrame:
-    """(keys, _chunk, _run) of the runs that, joined over the edges of chunks, hold at least `least` different times."""
-    runs = phase.where("_run IS NOT NULL").groupBy(*keys, "_chunk", "_run").agg(F.sum(F.col("_step").cast("bigint")).alias("_n"), *(F.first(c).alias(c) for c in same))
-    w = Window.partitionBy(*keys, "_chunk")
-    runs = runs.withColumns({"_first": F.col("_run") == F.min("_run").over(w), "_last": F.col("_run") == F.max("_run").over(w)})
-    long = runs.where((F.col("_n") >= least) & ~F.col("_first") & ~F.col("_last")).select(*keys, "_chunk", "_run")
-    edges = runs.where("_first OR _last")
+    """(keys, _chunk, _run) of the runs that, joined over the edges of chunks, hold at least `least` different times.
+
+    Runs long enough by themselves show in their rows' running length. Of each chunk only the first and the last run can go on in another: one row per chunk, reduced map-side.
+    """
+    runs = phase.where("_run IS NOT NULL")
+    long = runs.where(F.col("_times") >= least).select(*keys, "_chunk", "_run").distinct()
+    one = F.struct("_run", "_times", *same)
+    ends = runs.groupBy(*keys, "_chunk").agg(F.max(F.when(F.col("_run") == 1, one)).alias("_a"), F.max(one).alias("_z"))
+    both = F.array_compact(F.array(F.struct(F.lit(True).alias("_first"), (F.col("_z._run") == 1).alias("_last"), F.col("_a").alias("_e")), F.when(F.col("_z._run") > 1, F.struct(F.lit(False).alias("_first"), F.lit(True).alias("_last"), F.col("_z").alias("_e")))))
+    edges = ends.select(*keys, "_chunk", F.explode(both).alias("_x")).select(*keys, "_chunk", "_x._first", "_x._last", "_x._e.*")
     order = Window.partitionBy(*keys).orderBy("_chunk", "_run")
     edges = edges.withColumn("_p", F.lag(F.struct("_last", *same)).over(order))
     joined = F.col("_first") & F.col("_p._last")
     for c in same:
         joined &= F.col(c) == F.col(f"_p.{c}")
+    # two rows per chunk at most: the number of chunks bounds a series here
     edges = edges.withColumn("_chain", F.sum(F.when(joined, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # one row per chunk edge: the number of chunks bounds it
-    edges = edges.withColumn("_n", F.sum("_n").over(Window.partitionBy(*keys, "_chain"))).where(F.col("_n") >= least)
-    return long.unionByName(edges.select(*keys, "_chunk", "_run"))
+    edges = edges.withColumn("_n", F.sum("_times").over(Window.partitionBy(*keys, "_chain"))).where(F.col("_n") >= least)
+    return long.unionByName(edges.select(*keys, "_chunk", "_run")).distinct()
 
 
 def ellipsoid(points: DataFrame, keys: list[str], value: str, limit: str) -> DataFrame:
@@ -106,25 +113,19 @@ def flag_implausible(readings: DataFrame, keys: list[str], id: str, time: str, *
     Series without M have no spikes. Nulls in `bad` or `ok` count as false. Empty tables give no rows.
     """
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
-    df = readings.select(*dict.fromkeys([*keys, id, time, value, *same]), f(bad).alias("_bad"), f(ok).alias("_ok"))
-    phase = written(phase_space(df, keys, id, time, value, same, "_ok", ["_bad"]), "phase-space")
-    ref = reference.select(*(F.col(k).alias(f"_m_{k}") for k in keys), (F.col(normal) * factor).alias("_limit"))
-    cond = None
-    for k in keys:
-        eq = F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-        cond = eq if cond is None else cond & eq
-    points = phase.where(F.col(value).isNotNull()).join(ref, cond).select(*keys, id, value, "_d1", "_d2", "_limit")
-    calm = points
+    # one row per series, written so that the passes below do not find the medians again
+    ref = written(reference.select(*(F.col(k).alias(f"_r_{k}") for k in keys), (F.col(normal) * factor).alias("_limit")), "normal-size")
+    df = readings.select(*dict.fromkeys([*keys, id, time, value, *same]), f(bad).alias("_bad"), f(ok).alias("_ok")).join(ref, _all_equal(keys), "left")
+    phase = written(phase_space(df, keys, id, time, value, same, "_ok", ["_bad", "_limit"]), "phase-space")
+    points = calm = phase.where(F.col(value).isNotNull() & F.col("_limit").isNotNull()).select(*keys, value, "_d1", "_d2", "_limit")
     for _ in range(ROUNDS):
-        fit = ellipsoid(calm, keys, value, "_limit")
+        fit = written(ellipsoid(calm, keys, value, "_limit"), "ellipsoid")
         calm = outside(points, fit, keys, value).where("NOT _out").drop("_out")
-    candidates = outside(points, fit, keys, value).where("_out")
-    spikes = candidates.where(F.col(value) > F.col("_limit")).select(*keys, id, F.lit("spike").alias("_kind"))
     runs = frozen(phase, keys, same, least)
-    stuck = phase.where("_run IS NOT NULL").join(runs.select(*(F.col(c).alias(f"_r_{c}") for c in [*keys, "_chunk", "_run"])), _all_equal([*keys, "_chunk", "_run"]), "left_semi").select(*keys, id, F.lit("frozen").alias("_kind"))
-    wrong = phase.where("_bad").select(*keys, id, F.lit("impossible").alias("_kind"))
-    all_ = spikes.unionByName(stuck).unionByName(wrong)
-    return all_.groupBy(*keys, id).agg(*(F.max(F.col("_kind") == k).alias(k) for k in ("spike", "frozen", "impossible")))
+    ids = [*keys, "_chunk", "_run"]
+    rows = outside(phase, fit, keys, value).join(runs.select(*(F.col(c).alias(f"_r_{c}") for c in ids), F.lit(True).alias("_stuck")), _all_equal(ids), "left")
+    spike = F.coalesce(F.col("_out") & (F.col(value) > F.col("_limit")), F.lit(False))
+    return rows.select(*keys, id, spike.alias("spike"), F.coalesce("_stuck", F.lit(False)).alias("frozen"), F.col("_bad").alias("impossible")).where("spike OR frozen OR impossible")
 
 
 def _all_equal(cols: list[str]) -> Column:
