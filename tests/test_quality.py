@@ -90,12 +90,13 @@ def test_exact_median(spark):
 
 def test_profile(spark):
     rules = spark.createDataFrame([("x", r"^[0-9]+(\.[0-9]+)?$", 0.0, 10.0)], "column_name string, value_pattern string, min_value double, max_value double")
-    rows = [("h", 1, v) for v in ("1", "2.0", "3", "4")] + [("h", 2, v) for v in ("2", "2.00", "n/a", None)] + [("h", 3, v) for v in ("20", "5", "5", "6")] + [("g", 2, None)]
+    rows = [("h", 1, v) for v in ("1", "2.0", "3", "4")] + [("h", 2, v) for v in ("2", "2.00", "n/a", None)] + [("h", 3, v) for v in ("20", "5", "5", "6")] + [("g", 2, None), (None, 1, "3"), (None, 1, "4")]
     df = spark.createDataFrame(rows, "harvester string, load_no int, x string").withColumn("column_name", F.lit(1))
     got = {(r.harvester, r.load_no, r.finding) for r in profile.findings(df, rules).collect()}
     assert got == {("h", 2, "pattern"), ("h", 2, "nulls"), ("h", 2, "distinct"), ("h", 3, "range"), ("h", 3, "shift")}
     p = {(r.harvester, r.load_no): r for r in profile.profile_loads(df, rules).collect()}
     assert (p["h", 2].distinct_values, p["h", 2].distinct_numbers, p["h", 2].median, p["h", 2].nulls) == (3, 1, 2.0, 1)
+    assert p[None, 1].median == 3.5
     assert p["g", 2].median is None and p["g", 2].distinct_numbers == 0
     assert profile.stability_index(df, rules).count() == 2
     assert profile.findings(df.limit(0), rules).count() == 0

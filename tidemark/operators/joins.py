@@ -13,11 +13,14 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], lt: str, r
     """Every left row with the `values` of the last right row at or before its time (null: none), of any age.
 
     Both sides go through one sort per (keys, block of time) with the last value carried forward; what a block
-    inherits comes from one row per block. Right rows of one time: the highest `order` wins. Left columns must differ from right value names.
+    inherits comes from one row per block. Right rows of one time: the highest `order` wins. Left columns must differ from right value names. Null keys match nothing.
     """
     blk = lambda c: F.floor(F.unix_timestamp(c) / block)
     lcols = left.columns
-    r = right.where(F.col(rt).isNotNull()).select(*keys, F.col(rt).alias("_t"), F.struct(*values).alias("_v"), F.col(order).cast("bigint").alias("_o"), blk(rt).alias("_b"))
+    known = F.col(rt).isNotNull()
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    r = right.where(known).select(*keys, F.col(rt).alias("_t"), F.struct(*values).alias("_v"), F.col(order).cast("bigint").alias("_o"), blk(rt).alias("_b"))
     l_ = left.select(*keys, F.col(lt).alias("_t"), blk(lt).alias("_b"), F.struct(*lcols).alias("_row"))
     both = l_.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*keys, "_b").orderBy("_t", F.col("_row").isNotNull(), "_o").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +63,7 @@ def near_event(rows: DataFrame, events: DataFrame, rt: str, et: str, before_s: i
 def concurrency(log: DataFrame, keys: list[str], o: str, c: str, id: str, block: int = BLOCK_S) -> DataFrame:
     """(keys, id, concurrent): intervals of the same key open at this one's start (itself included): opens <= o and closes > o.
 
-    A sweep over +1 and -1 events, with running sums within (keys, time block) and offsets from one row per block; at one time closings come first and all openings count.
+    A sweep over +1 and -1 events, with running sums within (keys, time block) and offsets from one row per block; at one time closings come first and all openings count. Null keys and empty or reversed intervals give no row.
     """
     t = lambda x: F.unix_micros(x)
     rows = log.where(F.col(o).isNotNull() & (F.col(c) > F.col(o)))

@@ -28,7 +28,7 @@ def summary(pnl: Column) -> dict[str, Column]:
 def equity(log: DataFrame, keys: list[str], order: list[str], pnl: str, start: float = 0.0, seed_peak: bool = False) -> DataFrame:
     """Each trade with `equity` (start + running sum), `peak` (running maximum, with seed_peak also of the start) and `dd` (peak - equity).
 
-    Running sums and maxima are taken within (keys, chunk of the first order column, a timestamp), with offsets from one row per chunk, so a log of any length spreads over tasks.
+    Running sums and maxima are taken within (keys, chunk of the first order column, a timestamp), with offsets from one row per chunk, so a log of any length spreads over tasks. Rows with a null key are left out.
     """
     df = log.withColumn("_c", F.floor(F.unix_timestamp(order[0]) / CHUNK_S))
     w = Window.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

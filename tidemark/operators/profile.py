@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import _null_safe
 from .selection import order_bin
 
 LOAD = ["harvester", "load_no"]
@@ -34,7 +35,7 @@ def profile_loads(df: DataFrame, rules: DataFrame, columns: list[str] | None = N
     """One row per load and column: rows, nulls, distinct printed values and numbers, pattern and range violations, minimum, maximum, exact median.
 
     `load` names the key columns, the last being the load's number. Without rules for a column every
-    value matches and no range holds. Empty tables give no rows; a column that is all null has null
+    value matches and no range holds. A null key is a source of its own. Empty tables give no rows; a column that is all null has null
     minimum, maximum and median. Columns of `df` not named are ignored.
     """
     columns = columns or [r.column_name for r in rules.select("column_name").distinct().take(1000)]
@@ -53,7 +54,7 @@ def profile_loads(df: DataFrame, rules: DataFrame, columns: list[str] | None = N
     distinct = numbers.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_numbers"), F.sum("rows").alias("matching"))
     medians = weighted_median(numbers, by, "number", "rows")
     for part in (distinct, medians):
-        base = base.join(part, by, "left")
+        base = _null_safe(base, part, by)
     return base.withColumns({"distinct_numbers": F.coalesce("distinct_numbers", F.lit(0)), "matching": F.coalesce("matching", F.lit(0))})
 
 
@@ -65,7 +66,7 @@ def weighted_median(counts: DataFrame, by: list[str], value: str, weight: str) -
     bins = bins.withColumns({"_n": F.sum("_c").over(w), "_to": F.sum("_c").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))})
     bins = bins.withColumns({"_below": F.col("_to") - F.col("_c"), "_r1": F.expr("(_n + 1) div 2"), "_r2": F.expr("_n div 2 + 1")})
     bins = bins.where("(_r1 > _below AND _r1 <= _to) OR (_r2 > _below AND _r2 <= _to)").drop("_c", "_to", "_n")
-    near = rows.join(bins, [*by, "_bin"])
+    near = _null_safe(rows, bins, [*by, "_bin"]).where("_below IS NOT NULL")
     near = near.withColumn("_to", F.col("_below") + F.sum(weight).over(Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     got = near.groupBy(*by).agg(F.min(F.when(F.col("_to") >= F.col("_r1"), F.col(value))).alias("_a"), F.min(F.when(F.col("_to") >= F.col("_r2"), F.col(value))).alias("_b"))
     return got.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias("median"))
