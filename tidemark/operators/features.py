@@ -46,11 +46,11 @@ def assemble(bars: DataFrame, other: DataFrame, w: WindowSpec) -> DataFrame:
     df = df.withColumns({"_u": I.full(F.col("diff"), w, 14, F.avg(up).over(I.rows(w, 14))), "_d": F.avg(dn).over(I.rows(w, 14)), "atr": F.col("atr14")})
     df = df.withColumns({
         **{f"sess_{k}": v.cast("int") for k, v in sess.items()}, "min_since_london_open": cal.since_london_open(F.col("t")), "min_to_ny_fix": cal.to_ny_fix(F.col("t")), "near_ny_fix": cal.near_ny_fix(F.col("t")).cast("int"), "dow": F.weekday("t"),
-        "ret_1": c / F.lag("c").over(w) - 1, "ret_5": c / F.lag("c", 5).over(w) - 1, "ret_20": c / F.lag("c", 20).over(w) - 1,
-        "vol_of_vol": I.stdev(F.col("atr14"), w, 20) / I.sma(F.col("atr14"), w, 20), "ema20_dist": (c - F.col("e20")) / F.col("atr14"), "ema50_dist": (c - F.col("e50")) / F.col("atr14"),
+        "ret_1": F.try_divide(c, F.lag("c").over(w)) - 1, "ret_5": F.try_divide(c, F.lag("c", 5).over(w)) - 1, "ret_20": F.try_divide(c, F.lag("c", 20).over(w)) - 1,
+        "vol_of_vol": F.try_divide(I.stdev(F.col("atr14"), w, 20), I.sma(F.col("atr14"), w, 20)), "ema20_dist": F.try_divide(c - F.col("e20"), F.col("atr14")), "ema50_dist": F.try_divide(c - F.col("e50"), F.col("atr14")),
         "bar_of_sess_mom": c - F.first("o").over(part), "range_exp": F.col("rng") / F.nullif(I.rolling_median(F.col("rng"), w, 20), F.lit(0.0)), "h1_ema50_slope": F.signum(F.lag("e50").over(w) - F.lag("e50", 4).over(w)),
-        "rsi14": F.when(F.col("_d") != 0, 100 - 100 / (1 + F.col("_u") / F.col("_d"))), "tickvol_z": I.zscore(F.col("v"), w, 50), "other_ret_5": F.coalesce(F.col("other") / F.lag("other", 5).over(w) - 1, F.lit(0.0)),
-        "other_z50": F.coalesce(I.zscore(F.col("other"), w, 50), F.lit(0.0)), "cross_ratio": F.coalesce(c / F.col("other"), F.lit(0.0)), "target_next": L.next_up(w), "target_5": L.excursion(w, 5),
+        "rsi14": F.when(F.col("_d") != 0, 100 - 100 / (1 + F.col("_u") / F.col("_d"))), "tickvol_z": I.zscore(F.col("v"), w, 50), "other_ret_5": F.coalesce(F.try_divide(F.col("other"), F.lag("other", 5).over(w)) - 1, F.lit(0.0)),
+        "other_z50": F.coalesce(I.zscore(F.col("other"), w, 50), F.lit(0.0)), "cross_ratio": F.coalesce(F.try_divide(c, F.col("other")), F.lit(0.0)), "target_next": L.next_up(w), "target_5": L.excursion(w, 5),
     })
     return df.select("symbol", "t", "c", *FEATURES, "target_next", "target_5").dropna(subset=FEATURES)
 

@@ -22,7 +22,7 @@ def profit_factor(pnl: Column, variant: str = "capped") -> Column:
 
 def summary(pnl: Column) -> dict[str, Column]:
     n, wins, losses = F.count(pnl), F.count_if(pnl > 0), F.count_if(pnl < 0)
-    return {"trades": n, "wins": wins, "losses": losses, "net": F.coalesce(F.sum(pnl), F.lit(0)), "win_rate": wins / n, "avg_win": F.avg(F.when(pnl > 0, pnl)), "avg_loss": F.avg(F.when(pnl < 0, pnl))}
+    return {"trades": n, "wins": wins, "losses": losses, "net": F.coalesce(F.sum(pnl), F.lit(0)), "win_rate": F.try_divide(wins, n), "avg_win": F.avg(F.when(pnl > 0, pnl)), "avg_loss": F.avg(F.when(pnl < 0, pnl))}
 
 
 def equity(log: DataFrame, keys: list[str], order: list[str], pnl: str, start: float = 0.0, seed_peak: bool = False) -> DataFrame:

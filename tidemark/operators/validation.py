@@ -135,11 +135,11 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def ks_distance(df: DataFrame, keys: list[str], side: Column, x: str) -> DataFrame:
-    """(keys, ks): largest distance between the distribution functions of the two sides (side true or false)."""
+    """(keys, ks): largest distance between the distribution functions of the two sides (side true or false); null where a side is empty."""
     g = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count_if(side).alias("p"), F.count_if(~side).alias("q"))
     w = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy(*keys)
-    d = F.abs(F.sum("p").over(w) / F.sum("p").over(tot) - F.sum("q").over(w) / F.sum("q").over(tot))
+    d = F.abs(F.try_divide(F.sum("p").over(w), F.sum("p").over(tot)) - F.try_divide(F.sum("q").over(w), F.sum("q").over(tot)))
     return g.withColumn("_d", d).groupBy(*keys).agg(F.max("_d").alias("ks"))
 
 

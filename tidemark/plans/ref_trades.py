@@ -393,10 +393,10 @@ def k06(s, d):
     return x.groupBy("fold", "train_end", "test_end").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("net"), R(M.profit_factor(F.col("cents"), "zero"), 9).alias("pf")).where("n >= 30")
 
 
-@query("k08_walk_forward_verdict", T + FOLDS + f", r AS (SELECT fold, {pf_sql('0.0')} >= 1 AS ok FROM f JOIN trades ON CAST(open_time AS DATE) >= train_end AND CAST(open_time AS DATE) < test_end WHERE test_end <= z GROUP BY 1 HAVING count(*) >= 30) SELECT count(*) AS folds, count_if(ok) AS passed, CASE WHEN count_if(ok) * 6 >= count(*) * 5 THEN 'PASS' WHEN count_if(ok) * 2 >= count(*) THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM r")
+@query("k08_walk_forward_verdict", T + FOLDS + f", r AS (SELECT fold, {pf_sql('0.0')} >= 1 AS ok FROM f JOIN trades ON CAST(open_time AS DATE) >= train_end AND CAST(open_time AS DATE) < test_end WHERE test_end <= z GROUP BY 1 HAVING count(*) >= 30) SELECT count(*) AS folds, coalesce(count_if(ok), 0) AS passed, CASE WHEN count(*) = 0 THEN 'INSUFFICIENT' WHEN count_if(ok) * 6 >= count(*) * 5 THEN 'PASS' WHEN count_if(ok) * 2 >= count(*) THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM r")
 def k08(s, d):
-    n, p = F.count(F.lit(1)), F.count_if(F.col("pf") >= 1)
-    return k06(s, d).agg(n.alias("folds"), p.alias("passed"), F.when(p * 6 >= n * 5, "PASS").when(p * 2 >= n, "MARGINAL").otherwise("FAIL").alias("verdict"))
+    n, p = F.count(F.lit(1)), F.coalesce(F.count_if(F.col("pf") >= 1), F.lit(0))
+    return k06(s, d).agg(n.alias("folds"), p.alias("passed"), F.when(n == 0, "INSUFFICIENT").when(p * 6 >= n * 5, "PASS").when(p * 2 >= n, "MARGINAL").otherwise("FAIL").alias("verdict"))
 
 
 @query("k10_circular_shift", f"WITH {HOURS}, x AS (SELECT symbol, t, c, row_number() {ORD} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM hours) SELECT a.symbol, a.t, b.c AS shifted FROM x a JOIN x b ON a.symbol = b.symbol AND b.i = (a.i + 100) % a.n")
@@ -450,7 +450,7 @@ def k18(s, d):
     return V.spearman(x, ["book"], "cents", "held").join(n, "book").where("n > 2").select("book", R(F.col("rho"), 9).alias("rho"))
 
 
-@query("k18_ks_distance", T + ", g AS (SELECT strategy, cents, count_if(direction = 'long') AS p, count_if(direction <> 'long') AS q FROM trades WHERE direction IS NOT NULL AND strategy IS NOT NULL GROUP BY 1, 2), c AS (SELECT strategy, abs(sum(p) OVER w / sum(p) OVER (PARTITION BY strategy) - sum(q) OVER w / sum(q) OVER (PARTITION BY strategy)) AS d FROM g WINDOW w AS (PARTITION BY strategy ORDER BY cents ROWS UNBOUNDED PRECEDING)) SELECT strategy, round(max(d), 9) AS ks FROM c GROUP BY 1")
+@query("k18_ks_distance", T + ", g AS (SELECT strategy, cents, count_if(direction = 'long') AS p, count_if(direction <> 'long') AS q FROM trades WHERE direction IS NOT NULL AND strategy IS NOT NULL GROUP BY 1, 2), c AS (SELECT strategy, abs(sum(p) OVER w / nullif(sum(p) OVER (PARTITION BY strategy), 0) - sum(q) OVER w / nullif(sum(q) OVER (PARTITION BY strategy), 0)) AS d FROM g WINDOW w AS (PARTITION BY strategy ORDER BY cents ROWS UNBOUNDED PRECEDING)) SELECT strategy, round(max(d), 9) AS ks FROM c GROUP BY 1")
 def k18b(s, d):
     x = trades(s, d).where("direction IS NOT NULL AND strategy IS NOT NULL")
     return V.ks_distance(x, ["strategy"], F.col("direction") == "long", "cents").select("strategy", R(F.col("ks"), 9).alias("ks"))

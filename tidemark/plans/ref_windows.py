@@ -109,14 +109,14 @@ def e09(s, d):
 @query("e10_ema_distance", f", {_ema(8)}, r AS (SELECT symbol, t, {TRS} AS tr FROM hours), a AS (SELECT symbol, t, CASE WHEN count(tr) {w(14)} >= 14 THEN avg(tr) {w(14)} END AS atr FROM r) SELECT e.symbol, e.t, round((c - round(e.r.s / e.r.n, 6)) / round(atr, 6), 6) AS z FROM e JOIN a ON e.symbol = a.symbol AND e.t = a.t")
 def e10(s, d):
     b = hours(s, d).withColumn("tr", I.true_range(W0(), seed=True))
-    return b.select("symbol", "t", R((F.col("c") - R(I.ema(F.col("c"), W0(), 8))) / R(I.sma(F.col("tr"), W0(), 14))).alias("z"))
+    return b.select("symbol", "t", R(F.try_divide(F.col("c") - R(I.ema(F.col("c"), W0(), 8)), R(I.sma(F.col("tr"), W0(), 14)))).alias("z"))
 
 
 @query("e11_vol_of_vol", f", r AS (SELECT symbol, t, {TRS} AS tr FROM hours), a AS (SELECT symbol, t, CASE WHEN count(tr) {w(14)} >= 14 THEN round(avg(tr) {w(14)}, 6) END AS atr FROM r) SELECT symbol, t, round(CASE WHEN count(atr) {w(20)} >= 20 THEN stddev_samp(atr) {w(20)} / avg(atr) {w(20)} END, 6) AS vov FROM a")
 def e11(s, d):
     a = e03(s, d)
     n = F.count("atr").over(I.rows(W0(), 20)) >= 20
-    return a.select("symbol", "t", R(F.when(n, F.stddev_samp("atr").over(I.rows(W0(), 20)) / F.avg("atr").over(I.rows(W0(), 20)))).alias("vov"))
+    return a.select("symbol", "t", R(F.when(n, F.try_divide(F.stddev_samp("atr").over(I.rows(W0(), 20)), F.avg("atr").over(I.rows(W0(), 20))))).alias("vov"))
 
 
 @query("e12_range_expansion", f", m AS (SELECT *, CASE WHEN count(h) {w(20)} >= 20 THEN quantile_cont(h - l, 0.5) {w(20)} END AS med FROM hours) SELECT symbol, t, round(CASE WHEN med > 0 THEN (h - l) / med END, 6) AS x FROM m")
