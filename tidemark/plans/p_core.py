@@ -42,8 +42,9 @@ def p2_times(spark, sf_dir):
 
 def p4_found(spark, sf_dir):
     """Continuous periods with exposure of each book and strategy, and the gaps between them."""
-    log = table(spark, sf_dir, "eur_dd_postmortem").select("book", "strategy", F.unix_millis("open_time").alias("o"), F.unix_millis("close_time").alias("c"))
-    return intervals.periods_and_gaps(log, ["book", "strategy"], "o", "c").select("book", "strategy", "kind", F.col("from").alias("from_ms"), F.col("to").alias("to_ms"))
+    log = table(spark, sf_dir, "eur_dd_postmortem").select("book", "strategy", F.unix_micros("open_time").alias("o"), F.unix_micros("close_time").alias("c"))
+    ms = lambda c: F.call_function("div", F.col(c), F.lit(1000))
+    return intervals.periods_and_gaps(log, ["book", "strategy"], "o", "c", intervals.CHUNK_MS * 1000).select("book", "strategy", "kind", ms("from").alias("from_ms"), ms("to").alias("to_ms"))
 
 
 def p6_found(spark, sf_dir):
@@ -81,4 +82,11 @@ def p7_flags(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_times, p4_found, p6_found, p6_profile, p6_stability, p7_found, p7_flags)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """WITH i AS (SELECT book, strategy, epoch_us(open_time) AS s, epoch_us(close_time) AS e FROM eur_dd_postmortem WHERE close_time > open_time),
+ m AS (SELECT *, max(e) OVER (PARTITION BY book, strategy ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM i),
+ f AS (SELECT *, CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END AS n FROM m),
+ g AS (SELECT *, sum(n) OVER (PARTITION BY book, strategy ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM f)
+ SELECT book, strategy, 'period' AS kind, min(s) // 1000 AS from_ms, max(e) // 1000 AS to_ms FROM g GROUP BY book, strategy, k
+ UNION ALL SELECT book, strategy, 'gap', m // 1000, s // 1000 FROM f WHERE n = 1 AND m IS NOT NULL""",
+}
