@@ -162,7 +162,7 @@ def training_rows(intact: DataFrame) -> DataFrame:
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, score, cut) of every document: the probability that its text was cut before its writer ended it.
+    """(doc_id, source, score, cut, tail, at_limit) of every document: the probability that its text was cut before its writer ended it.
 
     docs: doc_id, source, text. Null, empty and blank texts have score 0. Repeated texts have the same score if their source's limits agree. Null sources
     form a source of their own. Without intact texts to learn from every score is 0.
@@ -184,12 +184,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
     # UTF-8 cut at a byte limit falls up to three bytes short
     byte_short = F.coalesce(F.exists("bytes_hard", lambda x: (F.col("bytes") <= x) & (F.col("bytes") > x - 4)), F.lit(False))
     at = F.when(has("chars_hard", "chars") | has("bytes_hard", "bytes"), 2).when(byte_short | close("chars_soft", "chars"), 1).otherwise(0)
-    sized = sized.withColumn("at_limit", at).select("doc_id", "source", "words", "at_limit")
+    sized = written(sized.withColumn("at_limit", at).select("doc_id", "source", "words", "at_limit"), "cut-sized")
     ended = F.element_at("words", -1).rlike(ENDS) & ~F.element_at("words", -1).rlike(r"(\.\.\.|…)$")
     intact = sized.where((F.size("words") >= 4) & ended & (F.col("at_limit") == 0))
     n = intact.count()
     if not n:
-        return df.select("doc_id", "source", F.lit(0.0).alias("score"), F.lit(False).alias("cut"))
+        none = {"score": F.lit(0.0), "cut": F.lit(False), "tail": F.lit(None).cast("array<string>"), "at_limit": F.lit(None).cast("int")}
+        return df.select("doc_id", "source", *(c.alias(n) for n, c in none.items()))
     sample = intact if n <= SAMPLE else intact.where(_unit(3, "doc_id") < SAMPLE / n)
     counts = written(counts, "cut-counts")
     train = _features(_with_counts(written(training_rows(sample), "cut-train"), counts, ["doc_id", "variant"]))
