@@ -39,6 +39,18 @@ def test_nearest(spark, tol, parts):
     assert got == brute(left, right, tol)
 
 
+@pytest.mark.parametrize("tol", [None, 40])
+@pytest.mark.parametrize("parts", [40, 600])
+def test_nearest_partitions_without_bars(spark, tol, parts, monkeypatch):
+    """More partitions than rows, or thousands of trades under one bar: partitions of trades alone, whole scan blocks of them too."""
+    monkeypatch.setattr(near, "SCAN_BLOCK", 40)
+    left = [(i, "f", "s", 60 * i + 20, "c") for i in range(12)] + [(100 + i, "g", "s", i, "c") for i in range(3000)]
+    right = [(5000 + i, "f", "s", 60 * i, "c") for i in range(12)] + [(6000, "g", "s", 10, "c")]
+    lf, rf = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    got = {r.id: (r.bar, r.distance) for r in near.nearest(lf, rf.withColumnRenamed("id", "bar"), ("f", "s"), "t", "t", "id", "bar", tol, parts).collect()}
+    assert got == brute(left, right, tol)
+
+
 def test_nearest_empty(spark):
     e = spark.createDataFrame([], SCHEMA)
     one = spark.createDataFrame([(1, "f", "s", 5, "")], SCHEMA)

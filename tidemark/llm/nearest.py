@@ -19,8 +19,8 @@ ROW = "pid int, edge boolean, e0 string, e1 string, id bigint, t bigint, pt bigi
 def _scan(batches: Iterator[pa.RecordBatch], tolerance: int | None) -> Iterator[pa.RecordBatch]:
     """Scan one range partition, sorted by (e0, e1, t, side, id); right records (side 0) come before left ones of the same time.
 
-    Gives each left record its last right record before (the lowest id of that time) and first one after within this partition, and one edge row:
-    the partition's first right record (as nt, nid of e0, e1) and its last (as pt, pid_, with entity in a second edge row).
+    Gives each left record its last right record before (the lowest id of that time) and first one after within this partition, and the edge:
+    the partition's first right record (as nt, nid of e0, e1) and its last (as pt, pid_, with entity in a second edge row), or one edge row with neither if it holds only left records.
     """
     import numpy as np
     from pyspark import TaskContext
@@ -99,13 +99,15 @@ def _scan(batches: Iterator[pa.RecordBatch], tolerance: int | None) -> Iterator[
         out, _ = handle(open_, True)
         if out is not None:
             yield out
+    if open_ is not None and not first:  # rows, but no right record: the carries go over this partition, and it gets its own
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, True, *[None] * 8), schema)], schema=schema)
     if first:
         edge = [(part, True, first[0], first[1], None, None, None, None, first[2], first[3]), (part, True, last[0], last[1], None, None, last[2], last[3], None, None)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*edge), schema)], schema=schema)
 
 
 def _carries(edges: DataFrame) -> DataFrame:
-    """(pid, carry_p*, carry_n*): for each partition the last right record of those before it and the first of those after it.
+    """(cp, p, n): for each partition that holds rows the last right record of those before it and the first of those after it.
 
     A prefix scan in two levels: within blocks of SCAN_BLOCK partitions, all blocks at once, and over the blocks' totals.
     """
@@ -114,10 +116,11 @@ def _carries(edges: DataFrame) -> DataFrame:
     # a time whose right records lie on both sides of an edge is led by the lowest id
     low = Window.partitionBy("l.e0", "l.e1", "l.t")
     lasts = lasts.withColumn("id", F.min("l.id").over(low)).select("pid", F.struct("l.e0", "l.e1", "l.t", "id").alias("l"))
-    both = lasts.join(firsts, F.col("pid") == F.col("fp"), "full").select(F.coalesce("pid", "fp").alias("pid"), "l", "f").withColumn("b", F.expr(f"pid div {SCAN_BLOCK}"))
+    lasts = lasts.withColumnRenamed("pid", "lp")
+    both = edges.select("pid").distinct().join(lasts, F.col("pid") == F.col("lp"), "left").join(firsts, F.col("pid") == F.col("fp"), "left").select("pid", "l", "f").withColumn("b", F.expr(f"pid div {SCAN_BLOCK}"))
     within = Window.partitionBy("b").orderBy("pid")
     both = both.withColumns({"p": F.last("l", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)), "n": F.last("f", ignorenulls=True).over(Window.partitionBy("b").orderBy(F.desc("pid")).rowsBetween(Window.unboundedPreceding, -1))})
-    totals = both.groupBy("b").agg(F.max_by("l", "pid").alias("l"), F.min_by("f", "pid").alias("f")).withColumn("top", F.expr(f"b div {SCAN_BLOCK}"))
+    totals = both.groupBy("b").agg(F.max_by("l", F.expr("if(l IS NOT NULL, pid, NULL)")).alias("l"), F.min_by("f", F.expr("if(f IS NOT NULL, pid, NULL)")).alias("f")).withColumn("top", F.expr(f"b div {SCAN_BLOCK}"))
     up, down = Window.partitionBy("top").orderBy("b"), Window.partitionBy("top").orderBy(F.desc("b"))
     totals = totals.select(F.col("b").alias("tb"), F.last("l", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("bp"), F.last("f", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("bn"))
     return both.join(totals, F.col("b") == F.col("tb")).select(F.col("pid").alias("cp"), F.coalesce("p", "bp").alias("p"), F.coalesce("n", "bn").alias("n"))
@@ -133,7 +136,7 @@ def nearest(left: DataFrame, right: DataFrame, by: tuple[str, str], left_time: s
     Both tables are range-partitioned together by (entity, time, id), so an entity of any size spreads over as many
     tasks as it fills. Each partition is scanned once, in Arrow batches, holding only the rows that wait for a right record
     (with a tolerance, only those within it).
-    The scan's result and two edge rows per partition are written to the shared folder; a prefix scan over the edges carries the last and first right
+    The scan's result and one or two edge rows per partition that holds rows are written to the shared folder; a prefix scan over the edges carries the last and first right
     records over partitions without any. Partition ids are in the written rows, so nothing depends on a range split being made twice alike.
     Up to SCAN_BLOCK^2 partitions are scanned in two levels.
     """
