@@ -11,7 +11,8 @@ def bracket(signals: DataFrame, bars: DataFrame, hold: int, cost: float) -> Data
 
     signals: symbol, t, buy, sell, sl_dist, tp_dist; bars: symbol, t, o, h, l, c. A bar that touches both is a stop. Without either the
     trade closes at the close of the last held bar (`timeout`, or `eod` if the series ends before). No state between trades, so the bars ahead of each
-    bar are one bounded window and everything else is per row. Result: symbol, t, side, entry_i, exit_i, entry, exit, pnl, exit_reason.
+    bar are one bounded window and everything else is per row. Result: symbol, t, side, entry_i, exit_i, entry, exit, pnl, exit_reason, and for
+    other readings of such bars `both` (the exit bar touched stop and target) and `pnl_target` (pnl had the target come first in it).
     """
     w = Window.partitionBy("symbol").orderBy("t").rowsBetween(1, 2 * hold)
     ahead = bars.withColumn("n", F.collect_list(F.struct("h", "l", "c")).over(w)).select("symbol", "t", "n")
@@ -30,7 +31,14 @@ def bracket(signals: DataFrame, bars: DataFrame, hold: int, cost: float) -> Data
     x = x.withColumn("exit_reason", why)
     at = F.when(F.col("exit_reason") == "sl", si).when(F.col("exit_reason") == "tp", ti).otherwise(F.size("m"))
     out = F.when(F.col("exit_reason") == "sl", sl).when(F.col("exit_reason") == "tp", tp).otherwise(F.coalesce(F.get("m", F.size("m") - 1)["c"], level))
-    return x.withColumns({"exit_i": (F.col("entry_i") + at).cast("int"), "exit": out}).select("symbol", "t", "side", "entry_i", "exit_i", F.col("level").alias("entry"), "exit", (d * (F.col("exit") - level) - cost).alias("pnl"), "exit_reason")
+    return x.withColumns({"exit_i": (F.col("entry_i") + at).cast("int"), "exit": out}).select("symbol", "t", "side", "entry_i", "exit_i", F.col("level").alias("entry"), "exit", (d * (F.col("exit") - level) - cost).alias("pnl"), "exit_reason", ((si > 0) & (si == ti)).alias("both"), (d * (F.when((si > 0) & (si == ti), tp).otherwise(F.col("exit")) - level) - cost).alias("pnl_target"))
+
+
+def bias_modes(b: DataFrame, seed: int = 42) -> DataFrame:
+    """(symbol, t, side, mode, pnl): each bracket trade under stop_first, target_first and coin; they differ only where one bar touched both levels."""
+    coin = F.pmod(F.xxhash64("symbol", "t", "side", F.lit(seed)), F.lit(2)) == 0
+    modes = {"stop_first": F.col("pnl"), "target_first": F.col("pnl_target"), "coin": F.when(F.col("both") & coin, F.col("pnl_target")).otherwise(F.col("pnl"))}
+    return b.select("symbol", "t", "side", F.explode(F.array(*(F.struct(F.lit(n).alias("mode"), c.alias("pnl")) for n, c in modes.items()))).alias("m")).select("symbol", "t", "side", "m.*")
 
 
 def threshold_long(cands: DataFrame, bars: DataFrame, hold: int, sl: float, tp: float, cost: float) -> DataFrame:

@@ -103,11 +103,7 @@ def h08(s, d):
 @query("h09_bias_modes")
 def h09(s, d):
     """Outcomes of the same brackets with the stop, the target or a seeded coin deciding bars that touch both."""
-    b = _bracket(s, d)
-    coin = F.pmod(F.xxhash64("symbol", "t", F.lit(42)), F.lit(2)) == 0
-    both = F.col("exit_reason").isin("sl", "tp")
-    modes = F.array(F.struct(F.lit("stop_first").alias("mode"), F.col("pnl")), F.struct(F.lit("coin").alias("mode"), F.when(both & coin, F.abs(F.col("pnl"))).otherwise(F.col("pnl")).alias("pnl")))
-    return b.select(F.explode(modes).alias("m")).groupBy("m.mode").agg(R(M.profit_factor(F.col("m.pnl"))).alias("pf"), F.count(F.lit(1)).alias("trades"))
+    return S.bias_modes(_bracket(s, d)).groupBy("mode").agg(R(M.profit_factor(F.col("pnl"))).alias("pf"), F.count(F.lit(1)).alias("trades"))
 
 
 @query("h11_greedy_no_overlap", """WITH RECURSIVE x AS (SELECT log_id, book, strategy, open_time AS o, close_time AS c, row_number() OVER (PARTITION BY book, strategy ORDER BY open_time, log_id) AS i FROM eur_dd_postmortem WHERE close_time >= open_time AND book IS NOT NULL AND strategy IS NOT NULL),
