@@ -2,8 +2,13 @@
 
 import random
 from datetime import datetime, timedelta
+from itertools import permutations
+
+import pytest
 
 from tidemark.operators import simulate as S
+from tidemark.operators import validation as V
+from tidemark.plans import ref_trades as R
 
 T0 = datetime(2024, 1, 1)
 
@@ -42,3 +47,54 @@ def test_bias_modes(spark):
     wins = sum(got["coin"][k] == want[k][1] for k in torn)
     assert len(torn) > 20 and len(torn) * 0.2 < wins < len(torn) * 0.8
     assert all(got["coin"][k] in v for k, v in want.items())
+
+
+def log(spark, cents, per_day=1):
+    return spark.createDataFrame([(i, "b", T0 + timedelta(days=i // per_day, minutes=i % per_day), c) for i, c in enumerate(cents)], "log_id bigint, book string, open_time timestamp, cents bigint")
+
+
+def drawdown(order, start=1000):
+    e = top = start
+    worst = 0
+    for p in order:
+        e += p
+        top = max(top, e)
+        worst = max(worst, top - e)
+    return worst
+
+
+@pytest.mark.parametrize("most", [V.DAYS, 0])
+def test_drawdown_orders(spark, most):
+    """All orders of four trades (two alike but for their time), drawn alike often, by list and by window."""
+    x = [50, -30, -30, 20]
+    r = {t.sim: t.max_dd for t in V.drawdown_replicates(log(spark, x), ["open_time", "log_id"], "cents", 600, 1000.0, most=most).collect()}
+    every = [drawdown(p) for p in permutations(x)]
+    assert len(r) == 601 and r[0] == drawdown(x) and set(r.values()) == set(every)
+    assert abs(sum(r.values()) / 601 - sum(every) / 24) < 2
+
+
+def test_drawdown_query_takes_trades(spark, monkeypatch):
+    """Losses within a day count, and the real order is no draw: of two trades, half of the orders lose first."""
+    monkeypatch.setattr(R, "trades", lambda s, d: log(spark, [100, -100], 2))
+    seen = []
+    draw = V.drawdown_replicates
+    monkeypatch.setattr(V, "drawdown_replicates", lambda *a, **k: seen.append(draw(*a, **k)) or seen[0])
+    r = R.k16(spark, "").first()
+    assert (r.real, r.p50, r.p99) == (100, 100, 100) and seen[0].where("sim > 0").count() == 1000
+
+
+def test_null_summary(spark, monkeypatch):
+    """A log without losses reaches a profit factor that no sign flip does; each replicate has signs of its own."""
+    monkeypatch.setattr(R, "trades", lambda s, d: log(spark, [10] * 30 + [-1]))
+    r = R.k15(spark, "").first()
+    pfs = [x.pf for x in V.sign_null(R._days(spark, ""), 500).where("replicate > 0").collect()]
+    assert r.real == 300 and r.p_value == sum(p >= 300 for p in pfs) / 500 < 0.01
+    assert r.edge_ratio == pytest.approx(300 / r.median) and r.passed and r.p5 < 0.7 < r.median < 1.5 < r.p95 and len(set(pfs)) > 10
+
+
+def test_block_bootstrap_size(spark, monkeypatch):
+    monkeypatch.setattr(R, "trades", lambda s, d: log(spark, [3, -2, 5, -1] * 10))
+    n = []
+    draw = V.bootstrap
+    monkeypatch.setattr(V, "bootstrap", lambda *a, **k: n.append(draw(*a, **k)) or n[0])
+    assert R.k01(spark, "").count() == 1 and n[0].count() == 10_000

@@ -347,7 +347,7 @@ def _days(s, d):
 
 @query("k01_block_bootstrap")
 def k01(s, d):
-    return V.bootstrap_summary(V.bootstrap(_days(s, d), 1000))
+    return V.bootstrap_summary(V.bootstrap(_days(s, d), 10_000))
 
 
 @query("k03_iid_bootstrap")
@@ -418,15 +418,14 @@ def k13(s, d):
 
 @query("k15_null_summary")
 def k15(s, d):
-    n = V.bootstrap(_days(s, d).withColumn("pnl", F.col("pnl") * F.when(F.pmod(F.xxhash64("day"), F.lit(2)) == 0, 1).otherwise(-1)), 500, blocks=False)
-    p = lambda q: F.percentile("pf", F.lit(q))
-    return n.agg(p(0.5).alias("median"), p(0.05).alias("p5"), p(0.95).alias("p95"), F.avg((F.col("pf") >= 1.2).cast("double")).alias("p_value"))
+    return V.null_summary(V.sign_null(_days(s, d), 500))
 
 
 @query("k16_drawdown_monte_carlo")
 def k16(s, d):
-    r = V.drawdown_replicates(V.daily(trades(s, d), ["book"], "open_time", "cents"), ["day", "book"], "pnl", 50, 100_000.0)
-    p = lambda q: F.percentile("max_dd", F.lit(q))
+    """The real order's drawdown, and percentiles over 1000 random orders of single trades."""
+    r = V.drawdown_replicates(trades(s, d), ["open_time", "log_id"], "cents", 1000, 100_000.0)
+    p = lambda q: F.percentile(F.when(F.col("sim") > 0, F.col("max_dd")), F.lit(q))
     return r.agg(F.max(F.when(F.col("sim") == 0, F.col("max_dd"))).alias("real"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
 
 
