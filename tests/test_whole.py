@@ -1,13 +1,14 @@
 """Operators that do the whole job, against plain Python."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from itertools import permutations
 
 import pytest
 
 from tidemark.operators import simulate as S
 from tidemark.operators import validation as V
+from tidemark.plans import ref_more as P
 from tidemark.plans import ref_trades as R
 
 T0 = datetime(2024, 1, 1)
@@ -98,3 +99,25 @@ def test_block_bootstrap_size(spark, monkeypatch):
     draw = V.bootstrap
     monkeypatch.setattr(V, "bootstrap", lambda *a, **k: n.append(draw(*a, **k)) or n[0])
     assert R.k01(spark, "").count() == 1 and n[0].count() == 10_000
+
+
+def test_rolling_folds():
+    """Six months to the next one over all months across a year's end; every day after the first window is tested once, with its train before it."""
+    f = V.rolling_folds(date(2023, 8, 17), date(2024, 5, 3))
+    assert [x[1] for x in f] == [date(2024, m, 1) for m in range(3, 6)] and f[0][0] == date(2023, 9, 1) and f[-1][2] == date(2024, 6, 1)
+    days = V.rolling_folds(date(2024, 1, 1), date(2024, 1, 30))
+    assert [x[1].day for x in days] == [13, 17, 21, 25, 29]
+    for x in (f, days):
+        assert all(a < b < c for a, b, c in x) and all(p[2] == q[1] for p, q in zip(x, x[1:]))
+
+
+def test_every_row_is_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROUNDS", 1)
+    monkeypatch.setattr(P, "ROLLING_ROUNDS", 1)
+    d = "/root/testdata/sf0.01"
+    rows = [(r.symbol, r.t, r.pos, r.n) for r in P._rows(spark, d).collect()]
+    got = sorted((r.symbol, r.t, r.fold) for r in P.l04(spark, d).collect())
+    assert got == sorted((s, t, 4 - (n - pos) // (n // 7)) for s, t, pos, n in rows if pos > n - n // 7 * 5)
+    first = min(t for _, t, _, _ in rows).date()
+    got = sorted((r.symbol, r.t) for r in P.l07(spark, d).collect())
+    assert got == sorted((s, t) for s, t, _, _ in rows if t.date() >= first + timedelta(days=12))

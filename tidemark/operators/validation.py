@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import date, timedelta
 from itertools import combinations
 from statistics import NormalDist
 
@@ -210,6 +211,22 @@ def time_series_splits(n: Column, rows: int, k: int, test: int, embargo: int) ->
     return [(i, max(0, rows - (k - i) * test - embargo), rows - (k - i) * test, rows - (k - i - 1) * test) for i in range(k)]
 
 
+def rolling_folds(first: date, last: date) -> list[tuple[date, date, date]]:
+    """(train_start, test_start, test_end), ends excluded, over all days from first to last: 6 calendar months to the next one, moved on by a month, from the first day that begins a month.
+
+    Where that gives no fold, 12 days to the next 4, moved on by 4.
+    """
+    m = first.month - 1 + (first.day > 1)
+    month = lambda k: date(first.year + (m + k) // 12, (m + k) % 12 + 1, 1)
+    day = lambda k: first + timedelta(days=k)
+    at, train, step = (month, 6, 1) if month(6) <= last else (day, 12, 4)
+    out, k = [], train
+    while at(k) <= last:
+        out.append((at(k - train), at(k), at(k + step)))
+        k += step
+    return out
+
+
 def cpcv_paths(groups: int, k: int) -> list[tuple[int, tuple[int, ...]]]:
     """Numbered choices of k test groups out of `groups`."""
     return list(enumerate(combinations(range(groups), k)))

@@ -13,7 +13,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import signals as G
 from ..operators import validation as V
-from ..session import table
+from ..session import table, written
 from .ref_trades import FEATURES, LEAD, T, _fit, _learn, _scored, _wave, pf_sql
 from .ref_windows import ATR14, TR, W0, with_atr
 from .substrate import HOURS, ORD, TICKS, hours, ticks, trades, w
@@ -182,26 +182,52 @@ def l02(s, d):
     return table(s, d, "orders").groupBy(F.when(F.expr("o_orderdate < timestamp_ntz'1997-01-01'"), "train").otherwise("test").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Boosting rounds of the original's folds and of its monthly retraining.
+ROUNDS, ROLLING_ROUNDS = 300, 200
+
+
+def _rows(s, d):
+    """e27's complete feature rows with the next bar's direction as label, written once for all folds."""
+    x = e27(s, d).select("symbol", "t", *(F.col(c).cast("double").alias(c) for c in FE.FEATURES), F.col("target_next").cast("double").alias("label"))
+    return written(x.withColumns({"pos": F.row_number().over(W0()), "n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}), "learn")
+
+
+def _fold_scores(folds, rounds: int, fold_type: str):
+    """(symbol, t, prob, label, fold) of [(fold, train, test)]: a model per fold, fitted side by side. Folds whose train rows lack a label's side or whose test is empty give no rows."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    def run(f):
+        fold, train, test = f
+        if train.select("label").distinct().count() < 2 or test.isEmpty():
+            return None
+        return _scored(_fit(train, rounds, FE.FEATURES), test).select("symbol", "t", "prob", "label", F.lit(fold).cast(fold_type).alias("fold"))
+
+    spark = folds[0][1].sparkSession
+    with ThreadPool(min(6, len(folds))) as pool:
+        found = [p for p in pool.map(inheritable_thread_target(spark)(run), folds) if p is not None]
+    out = found[0] if found else spark.createDataFrame([], f"symbol string, t timestamp, prob double, label double, fold {fold_type}")
+    for p in found[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("l04_out_of_fold")
 def l04(s, d):
-    """Predictions of each expanding fold's test rows, one model per fold, put together."""
-    x = _learn(s, d)
-    out = None
-    for a, b in ((0.5, 0.75), (0.75, 1.0)):
-        p = _scored(_fit(x.where(f"pos <= n * {a} - 10"), 3), x.where(f"pos > n * {a} AND pos <= n * {b}")).select("symbol", "t", "prob", "label", F.lit(a).alias("fold"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    """Predictions of l03's five expanding folds, each of the last 5/7 of a series' rows once, put together."""
+    x = _rows(s, d).withColumn("size", F.expr("n div 7"))
+    return _fold_scores([(k, x.where(f"pos <= n - {5 - k} * size - 10"), x.where(f"pos > n - {5 - k} * size AND pos <= n - {4 - k} * size")) for k in range(5)], ROUNDS, "int")
 
 
 @query("l07_rolling_retrain")
 def l07(s, d):
-    """A model per fold on the days before, scored on the days after: folds are few, training is distributed."""
-    x = _learn(s, d).withColumn("dom", F.dayofmonth("t"))
-    out = None
-    for a in (12, 21):
-        p = _scored(_fit(x.where(f"dom BETWEEN {a - 11} AND {a}"), 3), x.where(f"dom BETWEEN {a + 1} AND {a + 4}")).select("symbol", "t", "prob", "label", F.lit(a).alias("fold"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    """A model per window of months (V.rolling_folds), scored on the month after it, over the whole history; fold: the test's first day."""
+    x = _rows(s, d).withColumn("day", F.to_date("t"))
+    e = x.agg(F.min("day").alias("a"), F.max("day").alias("z")).first()
+    folds = V.rolling_folds(e.a, e.z) if e.a else []
+    span = lambda a, z: (F.col("day") >= F.lit(a)) & (F.col("day") < F.lit(z))
+    return _fold_scores([(b, x.where(span(a, b)), x.where(span(b, c))) for a, b, c in folds] or [(None, x.limit(0), x.limit(0))], ROLLING_ROUNDS, "date")
 
 
 @query("l08_holdout", f"WITH {HOURS}, x AS (SELECT symbol, t, row_number() {ORD} AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM hours) SELECT symbol, t, CASE WHEN pos > n * 7 // 10 THEN 'test' ELSE 'train' END AS part FROM x WHERE pos > n * 7 // 10 OR pos <= n * 7 // 10 - 10")

@@ -484,12 +484,12 @@ def _learn(s, d):
 FEATURES = ["ret1", "ret5", "rng", "hour", "vol"]
 
 
-def _fit(train, iterations: int = 5):
+def _fit(train, iterations: int = 5, features=FEATURES):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), GBTClassifier(maxIter=iterations, maxDepth=3, seed=42)]).fit(train)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), GBTClassifier(maxIter=iterations, maxDepth=3, seed=42)]).fit(train)
 
 
 def _scored(model, test):
