@@ -6,6 +6,7 @@ from itertools import permutations
 
 import pytest
 
+from tidemark.operators import joins as J
 from tidemark.operators import simulate as S
 from tidemark.operators import validation as V
 from tidemark.plans import ref_more as P
@@ -121,3 +122,17 @@ def test_every_row_is_scored_once(spark, monkeypatch):
     first = min(t for _, t, _, _ in rows).date()
     got = sorted((r.symbol, r.t) for r in P.l07(spark, d).collect())
     assert got == sorted((s, t) for s, t, _, _ in rows if t.date() >= first + timedelta(days=12))
+
+
+def test_rows_in_bars_over_a_hole(spark):
+    """A weekend without bars is over 288 buckets of five minutes: its rows belong to the bar before."""
+    m = lambda *x: [T0 + timedelta(minutes=k) for k in x]
+    bars = [("x", t) for t in m(0, 5, 3000, 20000)] + [("y", t) for t in m(10)]
+    rows = [("x", t, i) for i, t in enumerate(m(-1, 0, 4, 5, 2999, 3000, 19999, 20004, 20005))] + [("y", t, 20 + i) for i, t in enumerate(m(9, 10, 14, 15))] + [("x", None, 90), ("z", T0, 91)]
+    out = J.within_bars(spark.createDataFrame(bars, "symbol string, b timestamp"), spark.createDataFrame(rows, "symbol string, ts timestamp, seq int"), ["symbol"], "b", "ts", 300)
+    want = {}
+    for k, t, seq in rows:
+        b = [x for s, x in bars if s == k and t and x <= t]
+        if b and (t < b[-1] + timedelta(minutes=5) or any(s == k and x > t for s, x in bars)):
+            want[seq] = b[-1]
+    assert {r.seq: r.bar_t for r in out.collect()} == want and {4, 6} < set(want)

@@ -40,12 +40,12 @@ def carry_rows(df: DataFrame, keys: list[str], t: str, value: str, limit: int) -
 
 
 def within_bars(bars: DataFrame, rows: DataFrame, keys: list[str], bt: str, rt: str, seconds: int) -> DataFrame:
-    """Rows that fall into [bar start, next bar's start), a series' last bar lasting `seconds`: equality on the time bucket first, so the join is a hash join."""
+    """Rows that fall into [bar start, next bar's start), however long that is, a series' last bar lasting `seconds`: the last bar at or before the row, if it has not ended."""
     w = Window.partitionBy(*keys).orderBy(bt)
-    b = bars.select(*keys, F.col(bt).alias("bar_t"), F.coalesce(F.lead(bt).over(w), F.timestamp_seconds(F.unix_timestamp(bt) + seconds)).alias("bar_end"))
-    bucket = lambda c: F.floor(F.unix_timestamp(c) / seconds)
-    b = b.withColumn("_k", F.explode(F.sequence(bucket("bar_t"), F.least(bucket("bar_end"), bucket("bar_t") + 288))))
-    return rows.withColumn("_k", bucket(rt)).join(b, [*keys, "_k"]).where(F.col(rt).between(F.col("bar_t"), F.col("bar_end")) & (F.col(rt) < F.col("bar_end"))).drop("_k")
+    b = bars.where(F.col(bt).isNotNull()).select(*keys, F.col(bt).alias("bar_t"), F.coalesce(F.lead(bt).over(w), F.timestamp_seconds(F.unix_timestamp(bt) + seconds)).alias("bar_end"))
+    # of bars with one start only the last has a length
+    b = b.withColumn("_end", F.unix_micros("bar_end"))
+    return asof_backward(rows, b, keys, rt, "bar_t", ["bar_t", "bar_end"], "_end").where(F.col(rt) < F.col("bar_end"))
 
 
 def near_event(rows: DataFrame, events: DataFrame, rt: str, et: str, before_s: int, after_s: int, keep: bool = True) -> DataFrame:
