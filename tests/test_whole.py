@@ -6,6 +6,7 @@ from itertools import permutations
 
 import pytest
 
+from tidemark.operators import implausible
 from tidemark.operators import joins as J
 from tidemark.operators import simulate as S
 from tidemark.operators import validation as V
@@ -136,3 +137,13 @@ def test_rows_in_bars_over_a_hole(spark):
         if b and (t < b[-1] + timedelta(minutes=5) or any(s == k and x > t for s, x in bars)):
             want[seq] = b[-1]
     assert {r.seq: r.bar_t for r in out.collect()} == want and {4, 6} < set(want)
+
+
+@pytest.mark.parametrize("step", [0, 7])
+def test_most_readings_over_the_limit(spark, step):
+    """Few usable bars of range 1, and more without ticks that reach 100 and over beyond their body: alike (the median itself) or spread."""
+    good = [(i, "f", "s", 10.0, 10.5, 9.5, 10.0, 3, i * 60000) for i in range(5)]
+    bad = [(100 + i, "f", "s", 10.0, 110.0 + step * i, 10.0, 10.0, 0, (10 + i) * 60000) for i in range(9)]
+    df = spark.createDataFrame(good + bad, "bar_id bigint, feed string, symbol string, open double, high double, low double, close double, tick_volume bigint, t_ms bigint")
+    got = {r.bar_id for r in implausible.implausible_bars(df).where("spike").collect()}
+    assert got == {b[0] for b in bad}

@@ -94,13 +94,13 @@ def _axis(d: Column, half: Column) -> Column:
 
 
 def outside(points: DataFrame, fit: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """`points` with `_out`: true outside its series' ellipsoid."""
+    """`points` with `_out`: true outside its series' ellipsoid, and for every value over `_limit`, even where the centre lies beyond it or no calm point is left to fit."""
     cond = None
     for k in keys:
         eq = F.col(k).eqNullSafe(F.col(f"_e_{k}"))
         cond = eq if cond is None else cond & eq
     r = _axis(F.col(value) - F.col("_c"), F.col("_a")) + _axis(F.coalesce("_d1", F.lit(0.0)), F.col("_b1")) + _axis(F.coalesce("_d2", F.lit(0.0)), F.col("_b2"))
-    return points.join(fit, cond, "left").withColumn("_out", F.coalesce(r > 1, F.lit(False))).drop(*(f"_e_{k}" for k in keys), "_c", "_a", "_b1", "_b2")
+    return points.join(fit, cond, "left").withColumn("_out", F.coalesce(r > 1, F.lit(False)) | F.coalesce(F.col(value) > F.col("_limit"), F.lit(False))).drop(*(f"_e_{k}" for k in keys), "_c", "_a", "_b1", "_b2")
 
 
 def flag_implausible(readings: DataFrame, keys: list[str], id: str, time: str, *, value: str, normal: str, reference: DataFrame, bad: str, same: list[str], ok: str, least: int, factor: float = 10.0) -> DataFrame:
