@@ -17,28 +17,27 @@ THRESHOLD = 0.5
 LIMIT_LEAST, LIMIT_TIMES, AROUND = 8, 6.0, 10
 #: Cuts at a word's end fall short of a limit by up to this many characters.
 SHORT_BY = 12
-#: Share of cut and of intact training texts that are told to lie at a limit, and shortly before one; weight of a cut text against an intact one.
-CUT_AT_LIMIT, INTACT_AT_LIMIT = 0.7, 0.001
-CUT_NEAR_LIMIT, INTACT_NEAR_LIMIT = 0.15, 0.03
+#: Weight of an artificially cut text against an intact one in the fit: cuts are rarer in a corpus than among the training rows.
 CUT_WEIGHT = 0.2
-#: Texts of fewer words are set phrases: equal ones count each time.
-PHRASE = 8
 N_KEYS = 6
 #: Openings of a sentence of up to so many words have a key of their own.
 OPENING = 5
 #: Closing words kept of a text (one more than OPENING, to see where a sentence opened).
 TAIL = 6
 
-# Marks that end a sentence, with closing quotes and brackets; decorations that follow a finished text.
+# Marks that end a sentence, with closing quotes and brackets; decorations that follow a finished text; remarks and
+# grades (in brackets, in quotes, n/m) that follow a finished sentence.
 ENDS = r"[.!?。！？…][\"'”»’)\]]*$"
 DECOR = r"(\s+([:;8=]-?[()DP]+|[*…]+|[\p{So}\p{Sk}\x{1F3FB}-\x{1F3FF}\x{FE0F}\x{200D}]+))+\s*$"
+REMARK = r"""([.!?。！？…]["'”»’)\]]*)(\s+(\([^()]{1,30}\)|"[^"]{1,30}"|“[^“”]{1,30}”|«[^«»]{1,30}»|\d{1,3}/\d{1,3}))+\s*$"""
 TAIL_MARK = r"[^\p{L}\p{N}]+$"
 
 
 def _clean(text: Column) -> Column:
-    """Text without tags and decorations, numbers written 0, ideographs and kana as words of their own."""
+    """Text without tags, decorations and closing remarks, numbers written 0, ideographs and kana as words of their own."""
     t = F.regexp_replace(text, r"<[^<>]{0,20}>", " ")
     t = F.regexp_replace(F.rtrim(t), DECOR, "")
+    t = F.regexp_replace(t, REMARK, "$1")
     t = F.regexp_replace(t, r"\d+([.,:]\d+)*[A-Za-z]?", "0")
     t = F.regexp_replace(t, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー])", " $1 ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r" ([。！？、」])", "$1"))
@@ -52,27 +51,33 @@ def _core(w: Column) -> Column:
     return F.regexp_replace(w, TAIL_MARK, "")
 
 
-def _keys(words: Column, ends: Column, i: Column) -> Column:
-    """Hashed keys of the place of word i (from 0): its last one, two and three words, the last without its marks; the two words before any one word and before
-    any two; and, up to OPENING words into a sentence, all of the sentence so far. words are lower-cased; ends tells which of them end a sentence."""
-    at = lambda d: F.coalesce(F.get(words, i - d), F.lit(""))
-    w = _core(at(0))
-    opening = F.coalesce(*(F.when((i == d) | F.coalesce(F.get(ends, i - d - 1), F.lit(False)), F.xxhash64(F.lit(6), w, *(at(x) for x in range(1, d + 1)))) for d in range(OPENING)), F.xxhash64(F.lit(7), i))
+def _spelled(df: DataFrame, words: str) -> DataFrame:
+    """Add `low`, `core` (low without closing marks) and `ends` (which words end a sentence) of the word array, each pattern run once a word."""
+    df = df.withColumn("low", F.transform(words, F.lower))
+    return df.withColumns({"core": F.transform("low", _core), "ends": F.transform(words, lambda w: w.rlike(ENDS))})
+
+
+def _keys(i: Column) -> Column:
+    """Hashed keys of the place of word i (from 0) of a row of `_spelled`: its last one, two and three words, the last without its marks; the two words before any
+    one word and before any two; and, up to OPENING words into a sentence, all of the sentence so far (null further in)."""
+    at = lambda d: F.coalesce(F.get("low", i - d), F.lit(""))
+    w = F.get("core", i)
+    opening = F.coalesce(*(F.when((i == d) | F.coalesce(F.get("ends", i - d - 1), F.lit(False)), F.xxhash64(F.lit(6), w, *(at(x) for x in range(1, d + 1)))) for d in range(OPENING)))
     return F.array(F.xxhash64(F.lit(1), w), F.xxhash64(F.lit(2), at(1), w), F.xxhash64(F.lit(3), at(2), at(1), w), F.xxhash64(F.lit(4), at(2), at(1)), F.xxhash64(F.lit(5), at(3), at(2)), opening)
 
 
-def _ends(words: Column) -> Column:
-    return F.transform(words, lambda w: w.rlike(ENDS))
+def once_per_source(words: DataFrame) -> DataFrame:
+    """Rows but those whose source has the same text under a lower doc_id. Copies are found by key alone; only keys that repeat meet the texts."""
+    again = words.groupBy("source", "text_key").agg(F.min("doc_id").alias("_low"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = again.select(F.col("source").alias("_s"), F.col("text_key").alias("_k"), "_low")
+    return words.join(again, (F.col("source") == F.col("_s")) & (F.col("text_key") == F.col("_k")), "left").where("_low IS NULL OR doc_id = _low").drop("_s", "_k", "_low")
 
 
 def ending_counts(words: DataFrame) -> DataFrame:
-    """(key, total, ended): of each word, pair and triple of the corpus, how often it occurs and how often a sentence or text ends with it. Equal texts of PHRASE words or more count once."""
+    """(key, total, ended): of each place (see `_keys`) of the corpus, how often it occurs and how often a sentence or text ends there. Equal texts of one source count once."""
     n = F.size("words")
-    grams = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_keys(F.col("low"), F.col("ends"), i).alias("k"), (F.get("ends", i) | (i == n - 1)).cast("int").alias("e")))
-    key = F.when(n < PHRASE, F.xxhash64("doc_id", "text_key")).otherwise(F.col("text_key"))
-    one = words.where(n > 0).groupBy(key.alias("text_key")).agg(F.first("words").alias("words"))
-    one = one.withColumns({"low": F.transform("words", F.lower), "ends": _ends(F.col("words"))})
-    rows = one.select(F.explode(grams).alias("g")).select(F.explode("g.k").alias("key"), F.col("g.e").alias("e"))
+    grams = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_keys(i).alias("k"), (F.get("ends", i) | (i == n - 1)).cast("int").alias("e")))
+    rows = _spelled(once_per_source(words.where(n > 0)), "words").select(F.explode(grams).alias("g")).select(F.explode("g.k").alias("key"), F.col("g.e").alias("e")).where("key IS NOT NULL")
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.sum("e").alias("ended"))
 
 
@@ -93,22 +98,27 @@ def length_limits(docs: DataFrame) -> DataFrame:
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """Rows with tail (up to TAIL words), n_words, at_limit (2: at one, 1: shortly before one, 0), off_total, off_ended, k (keys) and s (their counts) -> `features`."""
+    """Rows with tail (up to TAIL words), at_limit (2: at one, 1: shortly before one, 0), off_total, off_ended (what the row itself adds to its counts) and s (counts of its keys) -> `features`."""
     last = F.element_at("tail", -1)
-    dense = {}
-    for i, n in enumerate("123456"):
+    dense, ratio, log_t = {}, {}, {}
+    for i in range(N_KEYS):
         t = F.greatest(F.coalesce(F.col("s")[i]["total"], F.lit(0)) - F.col("off_total"), F.lit(0)).cast("double")
         e = F.least(F.greatest(F.coalesce(F.col("s")[i]["ended"], F.lit(0)) - F.col("off_ended"), F.lit(0)), t)
-        dense[f"_r{n}"] = F.log((e + 0.3) / (t - e + 0.3))
-        dense[f"_t{n}"] = F.log1p(t)
-        dense[f"_z{n}"] = (t == 0).cast("double")
-        dense[f"_c{n}"] = dense[f"_r{n}"] * (F.log1p(t) / (F.log1p(t) + 1))
+        ratio[i], log_t[i] = F.log((e + 0.3) / (t - e + 0.3)), F.log1p(t)
+    # the most telling place that is known decides: the whole sentence so far, then the last three words, two, one; places without the last word itself (3, 4) only where the last two words are new
+    known, met = {5: "6", 2: "3", 1: "2", 0: "1"}, F.lit(False)
+    for i, n in known.items():
+        here = ~met & (log_t[i] > 0)
+        dense |= {f"_r{n}": F.when(here, ratio[i]).otherwise(0.0), f"_c{n}": F.when(here, ratio[i] * log_t[i] / (log_t[i] + 1)).otherwise(0.0), f"_z{n}": (log_t[i] == 0).cast("double")}
+        met = met | (log_t[i] > 0)
+    new = log_t[1] == 0
+    dense |= {f"_g{i}": F.when(new, ratio[i]).otherwise(0.0) for i in (3, 4)}
     dots = last.rlike(r"(\.\.\.|…)[\"'”»’)\]]*$")
     stop = last.rlike(ENDS) & ~dots
-    dense |= {"_stop": stop.cast("double"), "_dots": dots.cast("double"), "_comma": last.rlike(r"[,;:(\-–]$").cast("double"), "_limit": (F.col("at_limit") == 2).cast("double"), "_near": (F.col("at_limit") == 1).cast("double"), "_limit_open": ((F.col("at_limit") == 2) & ~last.rlike(ENDS)).cast("double"), "_named": last.rlike(r"[\p{Lu}0_]").cast("double"), "_strange": (dense["_z1"] * (~last.rlike(r"[\p{Lu}0_]")).cast("double")), "_short": (F.col("n_words") < 4).cast("double"), "_len": F.log1p("n_words")}
+    dense |= {"_stop": stop.cast("double"), "_dots": dots.cast("double"), "_comma": last.rlike(r"[,;:(\-–]$").cast("double"), "_limit": (F.col("at_limit") == 2).cast("double"), "_near": (F.col("at_limit") == 1).cast("double"), "_limit_open": ((F.col("at_limit") == 2) & ~last.rlike(ENDS)).cast("double"), "_named": last.rlike(r"[\p{Lu}0_]").cast("double"), "_strange": (dense["_z1"] * (~last.rlike(r"[\p{Lu}0_]")).cast("double"))}
     df = df.withColumns(dense)
     close = F.lower(F.concat_ws(" ", "tail"))
-    grams = F.array(*(F.concat(F.lit(f"{n}|"), F.expr(f"right(_close, {n})")) for n in (1, 2, 3, 4)), F.concat(F.lit("w|"), F.lower(_core(last))), F.concat(F.lit("p|"), F.regexp_extract(last, TAIL_MARK, 0)))
+    grams = F.array(*(F.concat(F.lit(f"{n}|"), F.expr(f"right(_close, {n})")) for n in (1, 2)), F.concat(F.lit("p|"), F.regexp_extract(last, TAIL_MARK, 0)))
     df = df.withColumn("_close", close).withColumn("_grams", grams)
     hashed = HashingTF(inputCol="_grams", outputCol="_h", numFeatures=FEATURES, binary=True).transform(df)
     return VectorAssembler(inputCols=[*dense, "_h"], outputCol="features").transform(hashed).drop(*dense, "_h", "_grams", "_close")
@@ -116,7 +126,7 @@ def _features(df: DataFrame) -> DataFrame:
 
 def _with_counts(df: DataFrame, counts: DataFrame, id: list[str]) -> DataFrame:
     """Add `s`, the counts of the row's keys. Rows meet the counts by key: nothing is broadcast that grows with the corpus."""
-    df = df.withColumns({"_low": F.transform("tail", F.lower), "_ends": _ends(F.col("tail"))}).withColumn("k", _keys(F.col("_low"), F.col("_ends"), F.size("tail") - 1)).drop("_low", "_ends")
+    df = _spelled(df, "tail").withColumn("k", _keys(F.size("tail") - 1)).drop("low", "core", "ends")
     keys = df.select(*id, F.posexplode("k").alias("i", "key"))
     found = keys.join(counts, "key").groupBy(*id).agg(*(F.max(F.when(F.col("i") == j, F.struct("total", "ended"))).alias(f"s{j}") for j in range(N_KEYS)))
     return df.join(found, id, "left").withColumn("s", F.array(*(f"s{j}" for j in range(N_KEYS)))).drop(*(f"s{j}" for j in range(N_KEYS)), "k")
@@ -127,55 +137,56 @@ def _unit(seed: int, *by: str) -> Column:
     return F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
 
 
-def _limit(seed: int, at: float, near: float) -> Column:
-    u = _unit(seed, "doc_id")
-    return F.when(u < at, 2).when(u < at + near, 1).otherwise(0)
-
-
-def training_rows(intact: DataFrame) -> DataFrame:
-    """Intact texts -> rows with `label` 1 (artificially cut) and 0 (as they are; or without their full stop, or with dots for it).
+def training_rows(intact: DataFrame, limits: DataFrame) -> DataFrame:
+    """Intact texts (doc_id, words, chars, at_limit) -> rows with `label` 1 (artificially cut) and 0 (complete).
 
-    A cut falls after or inside a word that does not end a sentence; some have a mark put in place of the rest.
+    Cut: at a place drawn from the whole text, after or inside a word that does not end a sentence, some with a mark put in place of the rest; off every limit as in
+    transfer, and once more, where the text is longer than a limit drawn from those found, as the field with that limit would cut it. Complete: the text as it is, without its
+    full stop or with dots for it, and its first sentence alone; all at the distance from their source's limits at which the text really lies.
     """
+    m = limits.count()
+    numbered = limits.withColumn("_i", F.row_number().over(Window.orderBy("length", "source", "unit", "soft")) - 1).select("_i", F.col("length").alias("_limit"), "soft")  # few rows
+    rows = intact.where(F.size("words") >= 2).withColumn("_draw", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(max(m, 1))).cast("int"))
+    rows = _spelled(rows.join(numbered, F.col("_draw") == F.col("_i"), "left"), "words")
     w, n = F.col("words"), F.size("words")
-    rows = intact.where(n >= 4)
     at = lambda s: (F.floor(_unit(s, "doc_id") * (n - 1)) + 1).cast("int")
+    head = lambda j: F.slice(w, F.greatest(j - TAIL + 1, F.lit(1)), F.least(j - 1, F.lit(TAIL - 1)))
+    row = lambda tail, limit, total, ended, label: F.struct(tail.alias("tail"), limit.cast("int").alias("at_limit"), total.alias("off_total"), F.lit(ended).alias("off_ended"), F.lit(label).alias("label"))
     variants = []
-    for s in (11, 12):
+    in_field = F.col("chars") > F.col("_limit")
+    for s, there, limit in ((11, F.lit(True), F.lit(0)), (12, in_field, F.when(F.col("soft"), 1).otherwise(2))):
         j = at(s)  # 1-based word, not the last
-        word = F.element_at(w, j)
-        inside = F.length(_core(word)) > 2
-        part = F.substring(word, F.lit(1), F.greatest(F.lit(1), (F.floor(_unit(s + 20, "doc_id") * (F.length(_core(word)) - 1)) + 1).cast("int")))
-        frag = inside & (_unit(s + 40, "doc_id") < 0.55)
+        word, core = F.element_at(w, j), F.element_at("core", j)
+        part = F.substring(word, F.lit(1), F.greatest(F.lit(1), (F.floor(_unit(s + 20, "doc_id") * (F.length(core) - 1)) + 1).cast("int")))
+        frag = (F.length(core) > 2) & (_unit(s + 40, "doc_id") < 0.55)
         dots = _unit(s + 60, "doc_id") < 0.25
         closing = F.concat(F.when(frag, part).otherwise(word), F.when(dots & ~frag, F.lit("...")).otherwise(F.lit("")))
-        head = F.slice(w, F.greatest(j - TAIL + 1, F.lit(1)), F.least(j - 1, F.lit(TAIL - 1)))
-        limit = _limit(s + 80, CUT_AT_LIMIT, CUT_NEAR_LIMIT)
-        variants.append(F.when(~word.rlike(ENDS), F.struct(F.concat(head, F.array(closing)).alias("tail"), j.alias("n_words"), limit.alias("at_limit"), F.when(frag, 0).otherwise(1).alias("off_total"), F.lit(0).alias("off_ended"), F.lit(1.0).alias("label"))))
-    last = F.element_at(w, -1)
-    head = F.slice(w, F.greatest(n - TAIL + 1, F.lit(1)), F.least(n - 1, F.lit(TAIL - 1)))
+        cut = row(F.concat(head(j), F.array(closing)), limit, F.when(frag, 0).otherwise(1), 0, 1.0)
+        variants.append(F.when(F.coalesce(there, F.lit(False)) & ~F.element_at("ends", j), cut))
+    last, bare = F.element_at(w, -1), _core(F.element_at(w, -1))
     how = _unit(5, "doc_id")
-    for s, closing in ((1, last), (2, F.when(how < 0.2, F.concat(_core(last), F.lit("..."))).otherwise(_core(last)))):
-        limit = _limit(s + 90, INTACT_AT_LIMIT, INTACT_NEAR_LIMIT)
-        variants.append(F.struct(F.concat(head, F.array(closing)).alias("tail"), n.alias("n_words"), limit.alias("at_limit"), F.lit(1).alias("off_total"), F.lit(1).alias("off_ended"), F.lit(0.0).alias("label")))
+    first = F.array_position("ends", True).cast("int")
+    for there, j, closing in ((F.lit(True), n, last), (F.lit(True), n, F.when(how < 0.2, F.concat(bare, F.lit("..."))).otherwise(bare)), (first > 0, first, _core(F.element_at(w, F.greatest(first, F.lit(1)))))):
+        variants.append(F.when(there, row(F.concat(head(j), F.array(closing)), F.col("at_limit"), F.lit(1), 1, 0.0)))
     return rows.select("doc_id", F.posexplode(F.array_compact(F.array(*variants))).alias("variant", "v")).select("doc_id", "variant", "v.*")
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, source, score, cut, tail, at_limit) of every document: the probability that its text was cut before its writer ended it.
 
-    docs: doc_id, source, text. Null, empty and blank texts have score 0. Repeated texts have the same score if their source's limits agree. Null sources
+    docs: doc_id, source, text. Null, empty and blank texts and those without a letter or digit have score 0. Repeated texts have the same score if their source's limits agree. Null sources
     form a source of their own. Without intact texts to learn from every score is 0.
 
     Whole texts are read for the counts of sentence endings and the length limits of each source, over all documents. The classifier is a
     logistic regression over hashed closing characters, punctuation, length to limit and how often the closing words end a
-    sentence elsewhere, fitted on at most SAMPLE intact texts (ended by a full stop, off every limit) and their artificially cut versions.
+    sentence elsewhere, fitted on at most SAMPLE intact texts (ended by a full stop) and their artificially cut versions.
     """
     df = docs.select("doc_id", "source", F.col("text").alias("_text"))
     words = df.where(F.trim(F.coalesce("_text", F.lit(""))) != "").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("_text").alias("chars"), F.octet_length("_text").alias("bytes"), F.xxhash64("_text").alias("text_key"), _words(F.col("_text")).alias("words"))
     words = written(words, "cut-words")
     counts = ending_counts(words)
-    limits = length_limits(words).groupBy("source").agg(
+    found = written(length_limits(words), "cut-limits")
+    limits = found.groupBy("source").agg(
         *(F.collect_set(F.when((F.col("unit") == u) & (F.col("soft") == s), F.col("length"))).alias(f"{u}_{'soft' if s else 'hard'}") for u in ("chars", "bytes") for s in (False, True))
     )  # a source's few limits
     sized = words.join(limits.withColumnRenamed("source", "_ls"), F.col("source") == F.col("_ls"), "left").drop("_ls")
@@ -184,19 +195,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
     # UTF-8 cut at a byte limit falls up to three bytes short
     byte_short = F.coalesce(F.exists("bytes_hard", lambda x: (F.col("bytes") <= x) & (F.col("bytes") > x - 4)), F.lit(False))
     at = F.when(has("chars_hard", "chars") | has("bytes_hard", "bytes"), 2).when(byte_short | close("chars_soft", "chars"), 1).otherwise(0)
-    sized = written(sized.withColumn("at_limit", at).select("doc_id", "source", "words", "at_limit"), "cut-sized")
-    ended = F.element_at("words", -1).rlike(ENDS) & ~F.element_at("words", -1).rlike(r"(\.\.\.|…)$")
-    intact = sized.where((F.size("words") >= 4) & ended & (F.col("at_limit") == 0))
+    sized = written(sized.withColumn("at_limit", at).select("doc_id", "source", "words", "chars", "at_limit"), "cut-sized")
+    last = F.get("words", F.size("words") - 1)
+    ended = last.rlike(ENDS) & ~last.rlike(r"(\.\.\.|…)$")
+    intact = sized.where(ended)
     n = intact.count()
     if not n:
         none = {"score": F.lit(0.0), "cut": F.lit(False), "tail": F.lit(None).cast("array<string>"), "at_limit": F.lit(None).cast("int")}
         return df.select("doc_id", "source", *(c.alias(n) for n, c in none.items()))
     sample = intact if n <= SAMPLE else intact.where(_unit(3, "doc_id") < SAMPLE / n)
     counts = written(counts, "cut-counts")
-    train = _features(_with_counts(written(training_rows(sample), "cut-train"), counts, ["doc_id", "variant"]))
-    model = LogisticRegression(maxIter=40, regParam=0.0005, labelCol="label", featuresCol="features", probabilityCol="p", weightCol="weight").fit(train.select("features", "label", F.when(F.col("label") == 1, CUT_WEIGHT).otherwise(1.0).alias("weight")))
+    made = written(training_rows(sample, found), "cut-train")
+    train = _features(_with_counts(made, counts, ["doc_id", "variant"]))
+    model = LogisticRegression(maxIter=60, regParam=0.0005, labelCol="label", featuresCol="features", probabilityCol="p", weightCol="weight").fit(train.select("features", "label", F.when(F.col("label") == 1, CUT_WEIGHT).otherwise(1.0).alias("weight")))
     tail = F.slice("words", F.greatest(F.size("words") - TAIL + 1, F.lit(1)), TAIL)
-    rows = sized.where(F.size("words") > 0).select("doc_id", "source", tail.alias("tail"), F.size("words").alias("n_words"), "at_limit", F.lit(1).alias("off_total"), F.lit(1).alias("off_ended"))
+    rows = sized.where(F.exists("words", lambda x: x.rlike(r"[\p{L}\p{N}]"))).select("doc_id", "source", tail.alias("tail"), "at_limit", F.lit(1).alias("off_total"), F.lit(1).alias("off_ended"))
     scored = model.transform(_features(_with_counts(rows, counts, ["doc_id"])))
     scored = scored.select(F.col("doc_id").alias("_d"), vector_to_array("p")[1].alias("_s"), "tail", "at_limit")
     out = df.join(scored, F.col("doc_id") == F.col("_d"), "left").withColumn("score", F.coalesce("_s", F.lit(0.0)))
