@@ -69,7 +69,7 @@ def test_cut(spark):
 
 def test_whole_texts_of_odd_endings(spark):
     """Set phrases, lone marks, grades and remarks after a full stop are no cuts; a text of one source counts once however often it is copied."""
-    odd = ["-", ".", "Does the job", "Keeper"] + [r[1].rstrip(".!") + x for r, x in zip(docs(4), (". 10/10", ". (updated)", '. "enough said"', "."))]
+    odd = ["-", ".", "Does the job", "Worth every pip"] + [r[1].rstrip(".!") + x for r, x in zip(docs(4), (". 10/10", ". (updated)", '. "enough said"', "."))]
     rows = [(r[0], ["It works. ", "Nice and quick. ", "Good value. ", ""][r[0] % 4] + r[1], r[2]) for r in docs()] + [(5000 + 10 * i + j, t, f"s{j}") for i, t in enumerate(odd) for j in range(8)] + [(8000 + i, "My terminal bui", "a") for i in range(30)]
     cut = {r.doc_id for r in truncation.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).where("cut").collect()}
     assert not {i for i in cut if 5000 <= i < 8000} and {8000, 8029} <= cut
