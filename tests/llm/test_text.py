@@ -84,3 +84,36 @@ def test_mix(spark):
     assert abs(r["a"].actual_share - 0.5 / 0.9) < 0.02 and abs(r["b"].actual_share - 0.4 / 0.9) < 0.02 and r["gone"].used_tokens == 0
     p = {x.doc_id: x for x in plan.collect()}
     assert 9003 not in p and p[9001].repeats == 0 and max(x.repeats for x in p.values() if x.source == "b") <= 3 and max(x.repeats for x in p.values() if x.source == "a") <= 1
+
+
+def test_mix_shares_follow_tokens(spark):
+    """A source of a few records is met by tokens; records without source are not used; the whole is exact to 0.01 where it can be."""
+    rows = [tuple(r[:3]) for r in docs(900)] + [(9100 + i, "short one of the few " * (i + 1), "tiny") for i in range(4)] + [(9200, "no source", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.58, 1), ("b", 0.4, 3), ("tiny", 0.02, 5)], "source string, target_share double, max_repeats int")
+    plan, report = mixing.mix(df, targets)
+    for r in report.collect():
+        assert abs(r.actual_share - r.target_share) < 0.01, r
+    tokens = {r.doc_id: r.tokens for r in bpe.count_tokens(df, ["doc_id"]).collect()}
+    got = plan.collect()
+    assert sum(r.repeats * tokens[r.doc_id] for r in got) == sum(r.used_tokens for r in report.collect())
+    assert 9200 not in {r.doc_id for r in got} and all(0 <= r.repeats <= {"a": 1, "b": 3, "tiny": 5}[r.source] for r in got)
+    none = mixing.mix(df.limit(0), targets)[1].collect()
+    assert [r.used_tokens for r in none] == [0, 0, 0] and all(r.actual_share is None for r in none)
+
+
+def test_posteriors_decide_the_mix(spark, monkeypatch):
+    """Within a source the fit takes more of the records that look like the domain the mix is short of; with flat posteriors the plan is another."""
+    random.seed(3)
+    gold, oil = ["gold", "silver", "metal", "ounce"], ["oil", "barrel", "crude", "tanker"]
+    line = lambda w: " ".join(random.choice(w) for _ in range(random.randrange(8, 16)))
+    rows = [(i, line(gold if i % 5 else oil), "gold") for i in range(300)] + [(1000 + i, line(oil), "oil") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("gold", 0.5, 1), ("oil", 0.5, 1)], "source string, target_share double, max_repeats int")
+    used = lambda: {r.doc_id: r.repeats for r in mixing.mix(df, targets)[0].collect()}
+    told = used()
+    share = lambda p, odd: sum(p[i] for i in range(300) if (i % 5 == 0) == odd) / sum((i % 5 == 0) == odd for i in range(300))
+    assert share(told, True) > 1.5 * share(told, False)
+    flat = mixing.posteriors
+    monkeypatch.setattr(mixing, "posteriors", lambda *a: flat(*a).withColumn("post", F.array(F.lit(0.5), F.lit(0.5))))
+    assert used() != told and abs(share(used(), True) - share(used(), False)) < 0.1
