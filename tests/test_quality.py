@@ -126,3 +126,36 @@ def test_implausible(spark):
     df = spark.createDataFrame([(*r, None) for r in rows], "trade_id bigint, feed string, symbol string, t_ms bigint, spread_at_fill double, exit_reason string")
     assert {r.trade_id for r in implausible.implausible_spreads(df).collect()} == want
     assert implausible.implausible_spreads(df.limit(0)).count() == 0
+
+
+def test_phase_space_over_chunk_edges(spark):
+    """Differences are those of the whole series, whatever the chunks; nulls and chunks of a single row included."""
+    random.seed(5)
+    day = implausible.CHUNK_MS
+    rows = [(i, "f", s, t, random.choice([1.0, 2.5, None, 4.0])) for s in ("a", "b") for i, t in enumerate(sorted(random.randrange(12 * day) for _ in range(60)), 100 * (s == "b"))]
+    df = spark.createDataFrame([(*r, True) for r in rows], "id bigint, feed string, symbol string, t bigint, x double, ok boolean")
+    keys = ["feed", "symbol"]
+    got = {r.id: (r._d1, r._d2) for r in implausible.with_heads(implausible.phase_space(df, keys, "id", "t", "x", ["x"], "ok", []), keys, "x").collect()}
+    for s in ("a", "b"):
+        v = [r for r in rows if r[2] == s]
+        for i, r in enumerate(v):
+            x, x1, x2 = r[4], v[i - 1][4] if i else None, v[i - 2][4] if i > 1 else None
+            d1 = None if x is None or x1 is None else x - x1
+            d2 = None if d1 is None or x2 is None else x - 2 * x1 + x2
+            assert got[r[0]] == (d1, d2), (s, i)
+
+
+def test_ellipsoid_decides(spark, monkeypatch):
+    """Candidates are few and hold every case; a reading the phase-space stage does not name is no spike."""
+    random.seed(6)
+    rows = [(i, "f", "a", i * 300_000, 1 + random.random() / 4 + (20 if i % 97 == 5 else 0), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "trade_id bigint, feed string, symbol string, t_ms bigint, spread_at_fill double, exit_reason string")
+    made = implausible.candidates
+    seen = []
+    monkeypatch.setattr(implausible, "candidates", lambda *a: seen.append(made(*a)) or seen[-1])
+    spikes = {r.trade_id for r in implausible.implausible_spreads(df).where("spike").collect()}
+    assert spikes == {i for i in range(3000) if i % 97 == 5}
+    near = {r.trade_id for r in seen[0].collect()}
+    assert spikes <= near and len(near) < 300
+    monkeypatch.setattr(implausible, "candidates", lambda *a: made(*a).where("trade_id < 1000"))
+    assert {r.trade_id for r in implausible.implausible_spreads(df).where("spike").collect()} == {i for i in spikes if i < 1000}

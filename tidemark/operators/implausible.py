@@ -1,8 +1,8 @@
 """Implausible readings: spikes, frozen stretches and impossible values, per source.
 
 Spikes are found by phase-space thresholding: each reading is a point (value, first difference,
-second difference); points outside a robust ellipsoid, fitted anew without the points flagged
-before, are candidates. Zero-difference runs and bounds catch the other faults.
+second difference); points outside a robust ellipsoid, fitted anew without the points found before until
+no more are found, are candidates, and only these are held against the exact limit. Zero-difference runs and bounds catch the other faults.
 """
 
 from __future__ import annotations
@@ -15,25 +15,29 @@ from .selection import exact_median
 
 #: Chunks of time in which a series is split over tasks.
 CHUNK_MS = 7 * 86_400_000
-#: Rounds of fitting the ellipsoid.
-ROUNDS = 2
+#: Rounds of fitting the ellipsoid, at most.
+ROUNDS = 3
 #: A normal distribution's standard deviation over its quartile distance, and over its median absolute value.
 IQR_SD, ABS_SD = 1 / 1.349, 1.4826
-#: Relative error of the quantiles the ellipsoid is fitted to is 1 / this (the limits checked afterwards are exact).
+#: Rank error of the quantiles the ellipsoid is fitted to is 1 / this of the readings (the limits checked afterwards are exact).
 ACCURACY = 1000
 
 
 def phase_space(readings: DataFrame, keys: list[str], id: str, time: str, value: str, same: list[str], ok: str, keep: list[str]) -> DataFrame:
     """Each reading with `_d1`, `_d2` (differences to the readings before it in time) and its run of equal `same` values.
 
-    Rows without time have null differences and no run. Differences and runs are taken within chunks
-    of CHUNK_MS, so no task sorts a whole series; runs are joined over the edges by `frozen`. Rows where `ok` is false take no part in runs.
+    Rows without time have null differences and no run. Differences and runs are taken within chunks of CHUNK_MS, so no task sorts a whole series; `_pos` counts a
+    chunk's rows from 1 to 3 (then stays), its first two get their differences from `with_heads`, and runs are joined over the edges by `frozen`. Rows where `ok` is false take no part in runs.
     """
     cols = [*keys, id, time, value, ok, *keep]
     timed = readings.where(F.col(time).isNotNull()).withColumn("_chunk", F.floor(F.col(time) / CHUNK_MS).cast("int"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(time, id)
     x = F.col(value)
-    timed = timed.withColumns({"_x1": F.lag(value, 1).over(w), "_x2": F.lag(value, 2).over(w), "_p": F.last(F.when(F.col(ok), F.struct(time, *same)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    timed = timed.withColumns({
+        "_x1": F.lag(value, 1).over(w), "_x2": F.lag(value, 2).over(w), "_pos": F.least(F.row_number().over(w), F.lit(3)), "_end": F.lead(id).over(w).isNull(),
+        "_p": F.last(F.when(F.col(ok), F.struct(time, *same)), ignorenulls=True).over(before),
+    })
     equal = None
     for c in same:
         eq = F.col(c) == F.col(f"_p.{c}")
@@ -43,12 +47,25 @@ def phase_space(readings: DataFrame, keys: list[str], id: str, time: str, value:
     timed = timed.withColumns({"_run": F.when(F.col(ok), F.sum(F.col("_new").cast("int")).over(so_far)), "_steps": F.sum(F.col("_step").cast("int")).over(so_far)})
     # different times of the run up to this row: all so far less those before the run began
     timed = timed.withColumn("_times", F.when(F.col(ok), F.col("_steps") - F.max(F.when(F.col("_new"), F.col("_steps") - 1)).over(so_far)))
-    timed = timed.select(*dict.fromkeys([*cols, *same]), (x - F.col("_x1")).alias("_d1"), (x - 2 * F.col("_x1") + F.col("_x2")).alias("_d2"), "_chunk", "_run", "_times")
-    none = lambda t: F.lit(None).cast(t)
-    loose = readings.where(F.col(time).isNull()).select(*dict.fromkeys([*cols, *same]), none("double").alias("_d1"), none("double").alias("_d2"), none("int").alias("_chunk"), none("bigint").alias("_run"), none("bigint").alias("_times"))
+    made = {"_d1": x - F.col("_x1"), "_d2": x - 2 * F.col("_x1") + F.col("_x2"), "_x1": F.col("_x1"), **{c: F.col(c) for c in ("_pos", "_end", "_chunk", "_run", "_times")}}
+    timed = timed.select(*dict.fromkeys([*cols, *same]), *(c.alias(n) for n, c in made.items()))
+    kinds = {"_pos": "int", "_end": "boolean", "_chunk": "int", "_run": "bigint", "_times": "bigint"}
+    loose = readings.where(F.col(time).isNull()).select(*dict.fromkeys([*cols, *same]), *(F.lit(None).cast(kinds.get(n, "double")).alias(n) for n in made))
     return timed.unionByName(loose)
 
 
+def with_heads(phase: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """`phase` with the differences of each chunk's first two rows taken over its edge: two rows of a chunk meet one row of the chunks before."""
+    ends = phase.where("_end").select(*keys, "_chunk", F.col(value).alias("_z1"), F.col("_x1").alias("_z2"), (F.col("_pos") > 1).alias("_two"))
+    w = Window.partitionBy(*keys).orderBy("_chunk")  # one row per chunk
+    lag = lambda c, n=1: F.lag(c, n).over(w)
+    ends = ends.select(*(F.col(k).alias(f"_r_{k}") for k in [*keys, "_chunk"]), lag("_z1").alias("_p1"), F.when(lag("_two"), lag("_z2")).otherwise(lag("_z1", 2)).alias("_p2"))
+    heads = phase.where("_pos <= 2").join(ends, _all_equal([*keys, "_chunk"]))
+    x, first = F.col(value), F.col("_pos") == 1
+    heads = heads.withColumns({"_d1": F.when(first, x - F.col("_p1")).otherwise(F.col("_d1")), "_d2": F.when(first, x - 2 * F.col("_p1") + F.col("_p2")).otherwise(x - 2 * F.col("_x1") + F.col("_p1"))})
+    return phase.where("_pos > 2 OR _pos IS NULL").unionByName(heads.select(*phase.columns))
+
+
 def frozen(phase: DataFrame, keys: list[str], same: list[str], least: int) -> DataFrame:
     """(keys, _chunk, _run) of the runs that, joined over the edges of chunks, hold at least `least` different times.
 
@@ -71,21 +88,19 @@ def frozen(phase: DataFrame, keys: list[str], same: list[str], least: int) -> Da
     return long.unionByName(edges.select(*keys, "_chunk", "_run")).distinct()
 
 
-def ellipsoid(points: DataFrame, keys: list[str], value: str, limit: str) -> DataFrame:
-    """(keys, centre and squared half-axes): a robust fit per series.
-
-    Half-axes are sqrt(2 ln n) robust deviations (the expected maximum of n normal values). The value's half-axis is never longer
-    than the distance from the centre to `limit`, so that no reading beyond the limit escapes, however wide the series scatters.
-    """
+def ellipsoid(points: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, centre, half-axes, points): a robust fit per series, with half-axes of sqrt(2 ln n) robust deviations (the expected maximum of n normal values)."""
     q = lambda c, *p: F.percentile_approx(c, F.array(*(F.lit(v) for v in p)), F.lit(ACCURACY))
-    s = points.groupBy(*keys).agg(q(F.col(value), 0.25, 0.5, 0.75).alias("_q"), q(F.abs("_d1"), 0.5).alias("_q1"), q(F.abs("_d2"), 0.5).alias("_q2"), F.count(F.lit(1)).alias("_n"), F.first(limit).alias("_limit"))
+    s = points.groupBy(*keys).agg(q(F.col(value), 0.25, 0.5, 0.75).alias("_q"), q(F.abs("_d1"), 0.5).alias("_q1"), q(F.abs("_d2"), 0.5).alias("_q2"), F.count(F.lit(1)).alias("_n"))
     reach = F.sqrt(2 * F.log(F.greatest(F.col("_n"), F.lit(3))))
-    a = reach * IQR_SD * (F.col("_q")[2] - F.col("_q")[0])
-    c = F.col("_q")[1]
-    return s.select(
-        *(F.col(k).alias(f"_e_{k}") for k in keys), c.alias("_c"), F.least(a, F.greatest(F.col("_limit") - c, F.lit(0.0))).alias("_a"),
-        (reach * ABS_SD * F.coalesce(F.col("_q1")[0], F.lit(0.0))).alias("_b1"), (reach * ABS_SD * F.coalesce(F.col("_q2")[0], F.lit(0.0))).alias("_b2"),
-    )
+    half = lambda c: reach * ABS_SD * F.coalesce(F.col(c)[0], F.lit(0.0))
+    return s.select(*keys, F.col("_q")[1].alias("_c"), (reach * IQR_SD * (F.col("_q")[2] - F.col("_q")[0])).alias("_a"), half("_q1").alias("_b1"), half("_q2").alias("_b2"), "_n")
+
+
+def usual_size(phase: DataFrame, keys: list[str], size: str, factor: float) -> DataFrame:
+    """(keys, `_most`): per series `factor` times a lower bound of the median size. A spike's limit is at or above it, so a value's half-axis never reaches beyond it: however wide a series scatters, no case lies inside."""
+    low = F.percentile_approx(F.when(~F.isnan(size), F.col(size)), F.lit(0.5 - 4 / ACCURACY), F.lit(ACCURACY))
+    return phase.groupBy(*keys).agg((low * factor).alias("_most"))
 
 
 def _axis(d: Column, half: Column) -> Column:
@@ -94,38 +109,59 @@ def _axis(d: Column, half: Column) -> Column:
 
 
 def outside(points: DataFrame, fit: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """`points` with `_out`: true outside its series' ellipsoid, and for every value over `_limit`, even where the centre lies beyond it or no calm point is left to fit."""
-    cond = None
-    for k in keys:
-        eq = F.col(k).eqNullSafe(F.col(f"_e_{k}"))
-        cond = eq if cond is None else cond & eq
-    r = _axis(F.col(value) - F.col("_c"), F.col("_a")) + _axis(F.coalesce("_d1", F.lit(0.0)), F.col("_b1")) + _axis(F.coalesce("_d2", F.lit(0.0)), F.col("_b2"))
-    return points.join(fit, cond, "left").withColumn("_out", F.coalesce(r > 1, F.lit(False)) | F.coalesce(F.col(value) > F.col("_limit"), F.lit(False))).drop(*(f"_e_{k}" for k in keys), "_c", "_a", "_b1", "_b2")
+    """`points` with `_out`: true outside its series' ellipsoid (keys, _c, _a, _b1, _b2, _most). Series without a fit, and null values, are not outside."""
+    fit = fit.select(*(F.col(k).alias(f"_r_{k}") for k in keys), "_c", "_a", "_b1", "_b2", "_most")
+    half = F.least(F.col("_a"), F.greatest(F.col("_most") - F.col("_c"), F.lit(0.0)))
+    r = _axis(F.col(value) - F.col("_c"), half) + _axis(F.coalesce("_d1", F.lit(0.0)), F.col("_b1")) + _axis(F.coalesce("_d2", F.lit(0.0)), F.col("_b2"))
+    # a centre beyond _most leaves nothing of the value's axis: then all above _most is outside
+    out = F.coalesce(r > 1, F.lit(False)) | F.coalesce((F.col("_c") > F.col("_most")) & (F.col(value) > F.col("_most")), F.lit(False))
+    return points.join(fit, _all_equal(keys), "left").withColumn("_out", out).drop(*(f"_r_{k}" for k in keys), "_c", "_a", "_b1", "_b2", "_most")
+
 
+def candidates(phase: DataFrame, keys: list[str], value: str, size: str, factor: float) -> DataFrame:
+    """The points of `phase` outside their series' ellipsoid, fitted again without them until a round finds no further one (ROUNDS at most).
 
-def flag_implausible(readings: DataFrame, keys: list[str], id: str, time: str, *, value: str, normal: str, reference: DataFrame, bad: str, same: list[str], ok: str, least: int, factor: float = 10.0) -> DataFrame:
+    Each round is one aggregate over the written points; the fits are one row per series.
+    """
+    points = phase.where(F.col(value).isNotNull())
+    most = written(usual_size(phase, keys, size, factor), "usual-size")
+    fit, before = None, -1
+    for _ in range(ROUNDS):
+        calm = points if fit is None else outside(points, fit, keys, value).where("NOT _out")
+        new = ellipsoid(calm, keys, value)
+        if fit is not None:  # a series without calm points keeps the fit it had
+            new = new.unionByName(fit.drop("_most").join(new.select(*(F.col(k).alias(f"_r_{k}") for k in keys)), _all_equal(keys), "left_anti"))
+        fit = written(new.join(most.select(*(F.col(k).alias(f"_r_{k}") for k in keys), "_most"), _all_equal(keys), "left").drop(*(f"_r_{k}" for k in keys)), "ellipsoid")
+        inside = fit.agg(F.sum("_n")).first()[0]
+        if inside == before:
+            break
+        before = inside
+    return outside(points, fit, keys, value).where("_out").drop("_out")
+
+
+def flag_implausible(readings: DataFrame, keys: list[str], id: str, time: str, *, value: str, size: str, bad: str, same: list[str], ok: str, least: int, factor: float = 10.0) -> DataFrame:
     """(keys, id, spike, frozen, impossible): the readings that are implausible for their own series.
 
-    value: the reading's excursion (null: none); reference: (keys, `normal`) with the normal size M of each
-    series. A reading is a spike if the phase-space stage names it and its value exceeds factor * M;
-    impossible where `bad` holds; frozen in a run of equal `same` values over at least `least`
-    different times among the rows where `ok` holds, in order of time (then id). Readings without time can be spikes or impossible.
-    Series without M have no spikes. Nulls in `bad` or `ok` count as false. Empty tables give no rows.
+    value: the reading's excursion (null: none); size: what the series' normal size M is the exact median of (null: takes no part). A reading is a spike if it lies
+    outside its series' ellipsoid in phase space (`candidates`) and its value exceeds factor * M; the latter is looked at for candidates alone. It is impossible where `bad` holds, and
+    frozen in a run of equal `same` values over at least `least` different times among the rows where `ok` holds, in order of time (then id). Readings without time can
+    be spikes or impossible. Series without M have no spikes. Nulls in `bad` or `ok` count as false. Empty tables give no rows.
     """
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
-    # one row per series, written so that the passes below do not find the medians again
-    ref = written(reference.select(*(F.col(k).alias(f"_r_{k}") for k in keys), (F.col(normal) * factor).alias("_limit")), "normal-size")
-    df = readings.select(*dict.fromkeys([*keys, id, time, value, *same]), f(bad).alias("_bad"), f(ok).alias("_ok")).join(ref, _all_equal(keys), "left")
-    phase = written(phase_space(df, keys, id, time, value, same, "_ok", ["_bad", "_limit"]), "phase-space")
-    points = calm = phase.where(F.col(value).isNotNull() & F.col("_limit").isNotNull()).select(*keys, value, "_d1", "_d2", "_limit")
-    for _ in range(ROUNDS):
-        fit = written(ellipsoid(calm, keys, value, "_limit"), "ellipsoid")
-        calm = outside(points, fit, keys, value).where("NOT _out").drop("_out")
-    runs = frozen(phase, keys, same, least)
+    df = readings.select(*dict.fromkeys([*keys, id, time, value, size, *same]), f(bad).alias("_bad"), f(ok).alias("_ok"))
+    phase = written(phase_space(df, keys, id, time, value, same, "_ok", ["_bad", size]), "phase-space")
+    far = written(candidates(with_heads(phase, keys, value).select(*keys, id, value, size, "_d1", "_d2"), keys, value, size, factor).select(*keys, id, value), "candidates")
+    # exact medians of the series that have a candidate
+    series = far.select(*(F.col(k).alias(f"_r_{k}") for k in keys)).distinct()
+    usual = exact_median(phase.where(F.col(size).isNotNull()).join(series, _all_equal(keys), "left_semi").select(*keys, size), keys, size)
+    usual = usual.select(*(F.col(k).alias(f"_r_{k}") for k in keys), (F.col("median") * factor).alias("_limit"))
+    found = lambda df, kind: df.select(*keys, id, *((F.lit(k == kind)).alias(k) for k in ("spike", "frozen", "impossible")))
+    spikes = found(far.join(usual, _all_equal(keys)).where(F.col(value) > F.col("_limit")), "spike")
     ids = [*keys, "_chunk", "_run"]
-    rows = outside(phase, fit, keys, value).join(runs.select(*(F.col(c).alias(f"_r_{c}") for c in ids), F.lit(True).alias("_stuck")), _all_equal(ids), "left")
-    spike = F.coalesce(F.col("_out") & (F.col(value) > F.col("_limit")), F.lit(False))
-    return rows.select(*keys, id, spike.alias("spike"), F.coalesce("_stuck", F.lit(False)).alias("frozen"), F.col("_bad").alias("impossible")).where("spike OR frozen OR impossible")
+    runs = frozen(phase, keys, same, least).select(*(F.col(c).alias(f"_r_{c}") for c in ids))
+    stuck = found(phase.where("_run IS NOT NULL").join(runs, _all_equal(ids), "left_semi"), "frozen")
+    every = spikes.unionByName(stuck).unionByName(found(phase.where("_bad"), "impossible"))
+    return every.groupBy(*keys, id).agg(*(F.bool_or(k).alias(k) for k in ("spike", "frozen", "impossible")))
 
 
 def _all_equal(cols: list[str]) -> Column:
@@ -145,9 +181,9 @@ def implausible_bars(bars: DataFrame) -> DataFrame:
         *keys, "bar_id", "t_ms", "high", "low", F.greatest(h - top, bottom - lo).alias("_x"),
         ((h <= 0) | (lo <= 0) | (h < lo) | F.coalesce(h < top, F.lit(False)) | F.coalesce(lo > bottom, F.lit(False))).alias("_impossible"),
         (h.isNotNull() & lo.isNotNull() & (F.col("tick_volume") > 0)).alias("_running"),
+        F.when((h >= lo) & (lo > 0) & (F.col("tick_volume") > 0), h - lo).alias("_range"),
     )
-    ranges = exact_median(bars.where("high >= low AND low > 0 AND tick_volume > 0").select(*keys, (h - lo).alias("_range")), keys, "_range")
-    return flag_implausible(df, keys, "bar_id", "t_ms", value="_x", normal="median", reference=ranges, bad="_impossible", same=["high", "low"], ok="_running", least=6)
+    return flag_implausible(df, keys, "bar_id", "t_ms", value="_x", size="_range", bad="_impossible", same=["high", "low"], ok="_running", least=6)
 
 
 def implausible_spreads(trades: DataFrame) -> DataFrame:
@@ -155,5 +191,5 @@ def implausible_spreads(trades: DataFrame) -> DataFrame:
     keys = ["feed", "symbol"]
     s = F.col("spread_at_fill")
     filled = trades.where(s.isNotNull() & ~F.col("exit_reason").eqNullSafe("unfilled")).select(*keys, "trade_id", "t_ms", "spread_at_fill", (s <= 0).alias("_impossible"), F.lit(True).alias("_running"))
-    usual = exact_median(filled.where("spread_at_fill > 0"), keys, "spread_at_fill")
-    return flag_implausible(filled, keys, "trade_id", "t_ms", value="spread_at_fill", normal="median", reference=usual, bad="_impossible", same=["spread_at_fill"], ok="_running", least=8)
+    filled = filled.withColumn("_size", F.when(s > 0, s))
+    return flag_implausible(filled, keys, "trade_id", "t_ms", value="spread_at_fill", size="_size", bad="_impossible", same=["spread_at_fill"], ok="_running", least=8)
