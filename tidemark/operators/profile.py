@@ -31,6 +31,12 @@ def judged(counts: DataFrame, rules: DataFrame) -> DataFrame:
     return df.withColumn("out_of_range", F.coalesce(F.col("matches") & ((F.col("number") < F.col("min_value")) | (F.col("number") > F.col("max_value"))), F.lit(False)))
 
 
+def ruled_columns(df: DataFrame, rules: DataFrame) -> list[str]:
+    """The columns of `df` that have a rule (rules of other columns are of no use here); as many as the table has at most."""
+    named = {r.column_name for r in rules.where(F.col("column_name").isin(df.columns)).select("column_name").distinct().collect()}
+    return [c for c in df.columns if c in named]
+
+
 def profile_loads(df: DataFrame, rules: DataFrame, columns: list[str] | None = None, load: list[str] = LOAD) -> DataFrame:
     """One row per load and column: rows, nulls, distinct printed values and numbers, pattern and range violations, minimum, maximum, exact median.
 
@@ -38,7 +44,7 @@ def profile_loads(df: DataFrame, rules: DataFrame, columns: list[str] | None = N
     value matches and no range holds. A null key is a source of its own. Empty tables give no rows; a column that is all null has null
     minimum, maximum and median. Columns of `df` not named are ignored.
     """
-    columns = columns or [r.column_name for r in rules.select("column_name").distinct().take(1000)]
+    columns = columns or ruled_columns(df, rules)
     counts = judged(value_counts(df, load, columns), rules)
     by = [*load, "column_name"]
     base = counts.groupBy(*by).agg(
@@ -97,14 +103,15 @@ def findings(df: DataFrame, rules: DataFrame, load: list[str] = LOAD) -> DataFra
 
 
 def stability_index(df: DataFrame, rules: DataFrame, load: list[str] = LOAD) -> DataFrame:
-    """Population stability index of the matching numbers of each load against the load before, over half-octave classes.
+    """Population stability index of the matching numbers of each load against the load before, over half-octave classes of their size, negative ones and zero apart.
 
     PSI = sum over classes of (a - b) ln(a / b), shares floored at PSI_SHARE. Loads without a load before, or without numbers in either, have no row.
     """
-    columns = [r.column_name for r in rules.select("column_name").distinct().take(1000)]
+    columns = ruled_columns(df, rules)
     *source, number = load
     counts = judged(value_counts(df, load, columns), rules).where("number IS NOT NULL")
-    cls = F.when(F.col("number") > 0, F.floor(F.log2("number") * 2)).otherwise(F.lit(-10_000)).cast("int")
+    half = F.floor(F.log2(F.abs("number")) * 2) + 10_000
+    cls = F.when(F.col("number") > 0, half).when(F.col("number") < 0, -half).otherwise(0).cast("int")
     hist = counts.groupBy(*load, "column_name", cls.alias("class")).agg(F.sum("rows").alias("n"))
     now = hist.select(*load, "column_name", "class", "n", F.lit(0).cast("bigint").alias("m"))
     then = hist.select(*source, (F.col(number) + 1).alias(number), "column_name", "class", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("m"))
