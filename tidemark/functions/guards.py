@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 TINY = 1e-12
 
 
+def number(c: Column | str) -> Column:
+    """A double, NaN as null: a reading that is no number counts as none."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(c), c)
+
+
 def safe_div(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) < TINY, 0.0).otherwise(a / b)
 

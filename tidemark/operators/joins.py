@@ -53,10 +53,13 @@ def near_event(rows: DataFrame, events: DataFrame, rt: str, et: str, before_s: i
 
     Each event is put into the few time buckets its window touches and the join is on the bucket, so no pair outside is ever looked at.
     """
-    size = before_s + after_s + 1
-    e = events.select(F.unix_timestamp(et).alias("_e")).distinct().withColumn("_k", F.explode(F.sequence(F.floor((F.col("_e") - before_s) / size), F.floor((F.col("_e") + after_s) / size))))
-    r = rows.withColumn("_rk", F.floor(F.unix_timestamp(rt) / size)).withColumn("_rt", F.unix_timestamp(rt))
-    cond = (F.col("_rk") == F.col("_k")) & (F.col("_rt") >= F.col("_e") - before_s) & (F.col("_rt") <= F.col("_e") + after_s)
+    us = 1_000_000
+    before, after = before_s * us, after_s * us
+    size = before + after + 1
+    block = lambda c: F.floor(c / size)
+    e = events.select(F.unix_micros(et).alias("_e")).distinct().withColumn("_k", F.explode(F.sequence(block(F.col("_e") - before), block(F.col("_e") + after))))
+    r = rows.withColumn("_rt", F.unix_micros(rt)).withColumn("_rk", block(F.col("_rt")))
+    cond = (F.col("_rk") == F.col("_k")) & (F.col("_rt") >= F.col("_e") - before) & (F.col("_rt") <= F.col("_e") + after)
     return r.join(e, cond, "left_semi" if keep else "left_anti").drop("_rk", "_rt")
 
 

@@ -45,12 +45,13 @@ class TimeDictionary:
     """Distinct-value dictionary of time stamps, kept as a parquet table at `path`.
 
     `path` defaults to a fresh folder in the shared folder; give a lasting one to keep it over loads:
-    then `update` parses only values that are not in it yet. An entry depends on nothing but its key.
+    then `update` parses only values that are not in it yet. An entry depends on nothing but its key, so a value that
+    a retried or concurrent load has added twice has equal entries, of which a kept dictionary is read once (`table`).
     """
 
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path = spark, path or scratch(spark, "time-dictionary")
-        self.known = False
+        self.known, self.fresh = False, path is None
         try:
             self.table()
             self.known = True
@@ -59,7 +60,9 @@ class TimeDictionary:
                 raise
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """(KEYS, early_ms, late_ms), one row per key. A fresh dictionary is written once by one `update` of distinct values; a kept one may hold a key twice."""
+        entries = self.spark.read.parquet(self.path)
+        return entries if self.fresh else entries.dropDuplicates(KEYS)
 
     def update(self, *keyed: DataFrame) -> None:
         """Add the values of frames made by `keyed_text` or `keyed_epoch`. Null values have no entry."""
@@ -70,6 +73,7 @@ class TimeDictionary:
         values = values.distinct()
         if self.known:
             values = values.join(self.table().select(*KEYS), KEYS, "left_anti")
+            self.fresh = False
         parse_values(values).write.mode("append").parquet(self.path)
         self.known = True
 

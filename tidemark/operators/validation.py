@@ -230,3 +230,91 @@ def rolling_folds(first: date, last: date) -> list[tuple[date, date, date]]:
 def cpcv_paths(groups: int, k: int) -> list[tuple[int, tuple[int, ...]]]:
     """Numbered choices of k test groups out of `groups`."""
     return list(enumerate(combinations(range(groups), k)))
+
+
+def purged_paths(df: DataFrame, keys: list[str], t: str, groups: int, k: int, purge: int) -> DataFrame:
+    """Each row with the paths (`path`, `tests`: the path's k test groups) in which it takes part, as `part` test or train, by combinatorial purged cross-validation.
+
+    A key's rows fall by position into `groups` equal runs; every choice of k of them is a path. Training rows within `purge` positions of a test group are left out, so
+    that no label that looks ahead and no feature that looks back reaches over. Which groups lie that near depends on the row alone, so paths are told per row, without a join.
+    """
+    w = Window.partitionBy(*keys)
+    x = df.withColumns({"_pos": F.row_number().over(w.orderBy(t)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    grp = lambda p: F.expr(f"({p}) * {groups} div _n")
+    x = x.withColumns({"_g": grp("_pos"), "_from": grp(f"greatest(_pos - {purge}, 0)"), "_to": grp(f"least(_pos + {purge}, _n - 1)")})
+    paths = F.array(*(F.struct(F.lit(i).alias("path"), F.array(*(F.lit(g).cast("bigint") for g in gs)).alias("tests")) for i, gs in cpcv_paths(groups, k)))
+    part = lambda p: F.when(F.array_contains(p["tests"], F.col("_g")), "test").when(~F.exists(p["tests"], lambda g: (g >= F.col("_from")) & (g <= F.col("_to"))), "train")
+    x = x.withColumn("_p", F.explode(F.transform(paths, lambda p: F.struct(p["path"].alias("path"), p["tests"].alias("tests"), part(p).alias("part")))))
+    return x.select(*df.columns, "_p.*").where("part IS NOT NULL")
+
+
+def stationary_block_length(x) -> float:
+    """Politis-White (2004, corrected 2009) block length for the stationary bootstrap of a series (any sequence of numbers).
+
+    The correlations are taken up to the lag after which k_n in a row are insignificant, by a flat-top window; a series without correlation gives 1. Under 20 values,
+    or without variance, the square root of their number.
+    """
+    import numpy as np
+
+    x = np.asarray(x, float)
+    n = len(x)
+    if n < 20 or not np.isfinite(x).all() or x.var() == 0:
+        return math.sqrt(n)
+    x = x - x.mean()
+    kn = max(5, math.ceil(math.sqrt(math.log10(n))))
+    most = math.ceil(math.sqrt(n)) + kn
+    cov = np.array([(x[: n - k] * x[k:]).sum() / n for k in range(min(most, n - 1) + 1)])
+    rho = np.abs(cov[1:] / cov[0])
+    bound = 2 * math.sqrt(math.log10(n) / n)
+    small = rho < bound
+    m = next((i for i in range(len(small) - kn + 1) if small[i : i + kn].all()), None)
+    if m is None:
+        far = np.flatnonzero(~small)
+        m = int(far[-1]) + 1 if len(far) else 0
+    top = min(2 * max(m, 1), len(cov) - 1)
+    k = np.arange(1, top + 1)
+    lam = np.where(k / top <= 0.5, 1.0, 2 * (1 - k / top))
+    g = 2 * (lam * k * cov[1 : top + 1]).sum()
+    d = 2 * (cov[0] + 2 * (lam * cov[1 : top + 1]).sum()) ** 2
+    return float(min(max(1.0, (2 * g * g / d) ** (1 / 3) * n ** (1 / 3)), math.ceil(min(3 * math.sqrt(n), n / 3)))) if d > 0 else math.sqrt(n)
+
+
+def least_pf(trials: int, trades: int, years: float, win_rate: float = 0.5, confidence: float = 0.95) -> float:
+    """The least profit factor at which two-valued outcomes of this many trades pass the deflated Sharpe test against `trials`, found by bisection in [1, 10] (10: none does).
+
+    Skewness and the fourth moment are those of two outcomes at the win rate; the variance of the trials' Sharpe ratios is that of a strategy without edge over the same years (one over the trades).
+    """
+    q = 1 - win_rate
+    skew = (1 - 2 * win_rate) / math.sqrt(win_rate * q)
+    kurt = 3 + (1 - 6 * win_rate * q) / (win_rate * q)
+    per_year = trades / years
+
+    def passes(pf: float) -> bool:
+        gain = pf * q / win_rate
+        sharpe = (win_rate * gain - q) / math.sqrt(win_rate * q * (gain + 1) ** 2)
+        return deflated_sharpe(sharpe, round(per_year * years), skew, kurt, trials, 1 / trades) >= confidence
+
+    low, high = 1.0, 10.0
+    if not passes(high):
+        return high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if passes(mid) else (mid, high)
+    return high
+
+
+def walk_forward(log: DataFrame, ts: str, train: int, test: int, step: int, runner) -> DataFrame:
+    """Results of `runner(train rows, test rows, fold)` (DataFrames and an int -> DataFrame) for every fold of `folds`, with `fold`, put together.
+
+    The folds are few (months over the step) and met one after the other when the plan is made; their work is Spark's. Without a fold, ValueError.
+    """
+    found = folds(log, ts, train, test, step).orderBy("fold").collect()
+    if not found:
+        raise ValueError("the history is too short for a fold")
+    day = F.to_date(ts)
+    out = None
+    for f in found:
+        within = lambda a, z: log.where((day >= F.lit(a)) & (day < F.lit(z)))
+        x = runner(within(f.train_start, f.train_end), within(f.train_end, f.test_end), f.fold).withColumn("fold", F.lit(f.fold))
+        out = x if out is None else out.unionByName(x)
+    return out

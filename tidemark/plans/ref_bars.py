@@ -51,9 +51,9 @@ def b02(s, d):
     return B.dedup(ticks(s, d).withColumn("m", F.date_trunc("minute", "ts")), ["symbol", "m"], ["ts", "seq"], "last").select("symbol", "m", "seq")
 
 
-@query("b03_union_all", "SELECT trade_id AS id, symbol, pnl_net AS pnl, CAST(NULL AS VARCHAR) AS book FROM tick_replay UNION ALL SELECT log_id, NULL, pnl, book FROM eur_dd_postmortem")
+@query("b03_union_all", "SELECT trade_id AS id, symbol, CASE WHEN NOT isnan(pnl_net) THEN pnl_net END AS pnl, CAST(NULL AS VARCHAR) AS book FROM tick_replay UNION ALL SELECT log_id, NULL, CASE WHEN NOT isnan(pnl) THEN pnl END, book FROM eur_dd_postmortem")
 def b03(s, d):
-    return B.union_all(table(s, d, "tick_replay").select(F.col("trade_id").alias("id"), "symbol", F.col("pnl_net").alias("pnl")), table(s, d, "eur_dd_postmortem").select(F.col("log_id").alias("id"), "pnl", "book"))
+    return B.union_all(table(s, d, "tick_replay").select(F.col("trade_id").alias("id"), "symbol", guards.number("pnl_net").alias("pnl")), table(s, d, "eur_dd_postmortem").select(F.col("log_id").alias("id"), guards.number("pnl").alias("pnl"), "book"))
 
 
 @query("b04_ticks_to_bars", f"""WITH {TICKS} SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS t, arg_min(pts, (ts, seq)) AS o, max(pts) AS h, min(pts) AS l,
@@ -314,13 +314,13 @@ def _news(t):
     return t.select((F.date_trunc("day", "ts") + F.expr("interval 750 minutes")).alias("e")).distinct()
 
 
-@query("d10_in_blackout", BLACK + "EXISTS (SELECT 1 FROM n WHERE date_trunc('second', ts) BETWEEN e - INTERVAL 15 MINUTE AND e + INTERVAL 30 MINUTE)")
+@query("d10_in_blackout", BLACK + "EXISTS (SELECT 1 FROM n WHERE ts BETWEEN e - INTERVAL 15 MINUTE AND e + INTERVAL 30 MINUTE)")
 def d10(s, d):
     t = ticks(s, d)
     return J.near_event(t, _news(t), "ts", "e", 900, 1800).select("seq")
 
 
-@query("d11_outside_blackout", BLACK + "NOT EXISTS (SELECT 1 FROM n WHERE date_trunc('second', ts) BETWEEN e - INTERVAL 15 MINUTE AND e + INTERVAL 30 MINUTE)")
+@query("d11_outside_blackout", BLACK + "NOT EXISTS (SELECT 1 FROM n WHERE ts BETWEEN e - INTERVAL 15 MINUTE AND e + INTERVAL 30 MINUTE)")
 def d11(s, d):
     t = ticks(s, d)
     return J.near_event(t, _news(t), "ts", "e", 900, 1800, keep=False).select("seq")

@@ -114,11 +114,15 @@ def h11(s, d):
     return M.greedy_no_overlap(log, ["book", "strategy"], "open_time", "close_time", "log_id").select("log_id")
 
 
-@query("h12_compounding", T + "SELECT log_id, round(exp(sum(ln(1 + 0.01 * greatest(least(cents / 10000.0, 3), -3))) OVER (PARTITION BY book ORDER BY open_time, log_id ROWS UNBOUNDED PRECEDING)), 6) AS growth FROM trades")
+STEP = "CASE WHEN 1 + 0.01 * cents / 10000.0 > 0 THEN ln(1 + 0.01 * cents / 10000.0) ELSE -1e9 END"
+
+
+@query("h12_compounding", T + f"SELECT log_id, round(exp(sum({STEP}) OVER (PARTITION BY book ORDER BY open_time, log_id ROWS UNBOUNDED PRECEDING)), 6) AS growth FROM trades WHERE book IS NOT NULL")
 def h12(s, d):
-    w = Window.partitionBy("book").orderBy("open_time", "log_id").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.ln(1 + 0.01 * F.greatest(F.least(F.col("cents") / 10000.0, F.lit(3)), F.lit(-3)))
-    return trades(s, d).select("log_id", R(F.exp(F.sum(step).over(w))).alias("growth"))
+    """Growth at a hundredth of the equity per trade, as running sums of logarithms in chunks; a loss of all there is leaves 0 for good."""
+    step = 1 + 0.01 * F.col("cents") / 10000.0
+    t = trades(s, d).where("book IS NOT NULL").withColumn("step", F.when(step > 0, F.ln(step)).otherwise(-1e9))
+    return M.equity(t, ["book"], ["open_time", "log_id"], "step").select("log_id", R(F.exp("equity")).alias("growth"))
 
 
 @query("h13_kill_switch")
@@ -402,9 +406,9 @@ def k10(s, d):
     return x.withColumn("j", (F.col("i") + 100) % F.col("n")).join(b, ["symbol", "j"]).select("symbol", "t", "shifted")
 
 
-@query("k12_direction_flip", "SELECT trade_id, round(-pnl_gross - (pnl_gross - pnl_net), 6) AS flipped FROM tick_replay")
+@query("k12_direction_flip", "SELECT trade_id, CASE WHEN NOT isnan(pnl_net) THEN round(-pnl_gross - (pnl_gross - pnl_net), 6) END AS flipped FROM tick_replay")
 def k12(s, d):
-    return table(s, d, "tick_replay").select("trade_id", R(-F.col("pnl_gross") - (F.col("pnl_gross") - F.col("pnl_net"))).alias("flipped"))
+    return table(s, d, "tick_replay").select("trade_id", R(-F.col("pnl_gross") - (F.col("pnl_gross") - guards.number("pnl_net"))).alias("flipped"))
 
 
 @query("k13_relocated_signals")
@@ -519,14 +523,21 @@ def l05(s, d):
     return V.auc(x.where("p IS NOT NULL"), ["symbol"], "p", "y").select("symbol", R(F.col("auc"), 9).alias("auc"))
 
 
-@query("l06_purged_paths", f"WITH {HOURS}, x AS (SELECT symbol, t, row_number() {ORD} - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM hours), g AS (SELECT *, pos * 8 // n AS grp FROM x), p AS (SELECT a.i AS a, b.i AS b FROM (SELECT unnest(range(8)) AS i) a, (SELECT unnest(range(8)) AS i) b WHERE a.i < b.i) SELECT p.a, p.b, count_if(grp IN (p.a, p.b)) AS test, count_if(grp NOT IN (p.a, p.b)) AS train FROM g, p GROUP BY 1, 2")
+PURGE = 15
+L06 = f"""WITH {HOURS}, x AS (SELECT symbol, t, row_number() {ORD} - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM hours),
+ g AS (SELECT *, pos * 8 // n AS grp FROM x), b AS (SELECT symbol, grp, min(pos) AS lo, max(pos) AS hi FROM g GROUP BY 1, 2),
+ p AS (SELECT a.i AS a, b.i AS b FROM (SELECT unnest(range(8)) AS i) a, (SELECT unnest(range(8)) AS i) b WHERE a.i < b.i)
+ SELECT g.symbol, p.a, p.b, count_if(grp IN (p.a, p.b)) AS test,
+ count_if(grp NOT IN (p.a, p.b) AND NOT EXISTS (SELECT 1 FROM b WHERE b.symbol = g.symbol AND b.grp IN (p.a, p.b) AND g.pos BETWEEN b.lo - {PURGE} AND b.hi + {PURGE})) AS train
+ FROM g, p GROUP BY 1, 2, 3"""
+
+
+@query("l06_purged_paths", L06)
 def l06(s, d):
-    """The 28 choices of two of eight groups: counts by group first, so that paths meet eight rows and not the data."""
-    x = hours(s, d).select("symbol", (F.row_number().over(W0()) - 1).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("n"))
-    g = x.groupBy(F.expr("pos * 8 div n").alias("grp")).agg(F.count(F.lit(1)).alias("k"))
-    paths = F.array(*(F.struct(F.lit(p[0]).cast("bigint").alias("a"), F.lit(p[1]).cast("bigint").alias("b")) for _, p in V.cpcv_paths(8, 2)))
-    inside = (F.col("grp") == F.col("p.a")) | (F.col("grp") == F.col("p.b"))
-    return g.withColumn("p", F.explode(paths)).groupBy("p.a", "p.b").agg(F.sum(F.when(inside, F.col("k")).otherwise(0)).alias("test"), F.sum(F.when(inside, 0).otherwise(F.col("k"))).alias("train"))
+    """Rows of test and of purged training in each of the 28 choices of two of eight groups (horizon 10, five more to each side)."""
+    x = hours(s, d).select("symbol", "t")
+    parts = V.purged_paths(x, ["symbol"], "t", 8, 2, PURGE)
+    return parts.groupBy("symbol", F.col("tests")[0].alias("a"), F.col("tests")[1].alias("b")).agg(F.count_if(F.col("part") == "test").alias("test"), F.count_if(F.col("part") == "train").alias("train"))
 
 
 @query("l09_importances")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,11 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where that is unset (tests, a laptop) a local folder is made and set for the session.
+    Only where that is unset and everything runs in one process (tests, a laptop) a local folder is made and set for the session; it is removed when Python ends. On a
+    cluster a local folder would be another one on each machine: RuntimeError.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder all executors share (master {master!r})")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
