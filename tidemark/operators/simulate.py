@@ -1,4 +1,4 @@
-"""Bracket simulators over bars."""
+"""Bracket simulators over bars, every signal by itself; position by position in `replay`."""
 
 from __future__ import annotations
 
@@ -62,94 +62,3 @@ def position_size(equity: Column, risk_pct: Column, stop_value: Column, lot_min:
 def kelly(p: Column, ratio: Column) -> Column:
     """Kelly fraction of a win chance and a win to loss ratio, not below 0."""
     return F.when(ratio > 0, F.greatest(F.lit(0.0), p - (1 - p) / ratio)).otherwise(0.0)
-
-
-def _sequential(pdf, hold, cost, start, risk, daily_cap, be, trail, sl, tp):
-    """State machine of one symbol: flat, pending bracket, open; balance couples the trades."""
-    import numpy as np
-
-    pdf = pdf.sort_values("t", kind="stable")
-    t, h, lo, c = (pdf[k].to_numpy() for k in "thlc")
-    buy, sell, atr = (pdf[k].to_numpy(float) for k in ("buy", "sell", "atr"))
-    day = pdf["t"].dt.floor("D").to_numpy()
-    rows, balance, i, n = [], start, 0, len(pdf)
-    today, lost = None, 0.0
-    while i < n:
-        if np.isnan(buy[i]) and np.isnan(sell[i]):
-            i += 1
-            continue
-        if day[i] != today:
-            today, lost = day[i], 0.0
-        if lost >= daily_cap * start:
-            i += 1
-            continue
-        j, side = i + 1, 0
-        while j < n and j <= i + hold and not side:  # the buy side fills first
-            side = 1 if h[j] >= buy[i] else -1 if lo[j] <= sell[i] else 0
-            j += not side
-        if not side:
-            i = j
-            continue
-        entry = (buy[i] if side > 0 else sell[i]) + side * cost
-        stop, goal, last, why, out = entry - side * sl * atr[i], entry + side * tp * atr[i], min(n - 1, j + hold), "", c[min(n - 1, j + hold)]
-        for k in range(j + 1, last + 1):
-            if (lo[k] <= stop) if side > 0 else (h[k] >= stop):
-                why, out = "sl", stop
-            elif (h[k] >= goal) if side > 0 else (lo[k] <= goal):
-                why, out = "tp", goal
-            elif k == j + hold and side * (c[k] - entry) < 0:  # only losers are timed out
-                why, out = "time", c[k]
-            if why:
-                break
-            best = h[k] if side > 0 else lo[k]
-            if side * (best - entry) >= be * atr[i]:
-                stop = max(stop, entry) if side > 0 else min(stop, entry)
-            if side * (best - entry) >= trail * atr[i]:
-                stop = max(stop, best - trail * atr[i]) if side > 0 else min(stop, best + trail * atr[i])
-        else:
-            k = last
-        pnl = side * (out - entry)
-        money = pnl * balance * risk / (sl * atr[i])
-        balance += money
-        lost += max(0.0, -money)
-        rows.append((t[i], t[k], "long" if side > 0 else "short", entry, out, pnl, money, balance, why or "end_of_data"))
-        i = k + 1
-    return rows
-
-
-def sequential(signals: DataFrame, bars: DataFrame, hold: int = 12, cost: float = 17.0, start: float = 1000.0, risk: float = 0.01, daily_cap: float = 0.05, be: float = 1.0, trail: float = 1.5, sl: float = 1.0, tp: float = 2.0) -> DataFrame:
-    """One position at a time per symbol: pending bracket, fill (buy first), stop before target, break-even, trailing stop, time stop for losers, daily loss cap.
-
-    Each trade depends on the balance and the exit of the one before, so a symbol's bars go through one pass in Python, in time order; symbols run side by side. signals: symbol, t, buy, sell, atr.
-    """
-    import pandas as pd
-
-    names = ["open_time", "close_time", "side", "entry", "exit", "pnl", "money", "balance", "exit_reason"]
-
-    def run(key, pdf):
-        rows = _sequential(pdf, hold, cost, start, risk, daily_cap, be, trail, sl, tp)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["symbol", *names])
-
-    df = bars.select("symbol", "t", "h", "l", "c").join(signals.select("symbol", "t", "buy", "sell", "atr"), ["symbol", "t"], "left")
-    return df.groupBy("symbol").applyInPandas(run, "symbol string, open_time timestamp, close_time timestamp, side string, entry double, exit double, pnl double, money double, balance double, exit_reason string")
-
-
-def tick_replay(signals: DataFrame, ticks: DataFrame, horizon_s: int, sl: float, tp: float, spread: float, gap_s: int) -> DataFrame:
-    """Each signal by itself over the ticks of the `horizon_s` after it: fill at the first tick (unfilled without one within gap_s: `session_gap`), then stop or target by tick, else out at the last.
-
-    signals: symbol, t, id; ticks: symbol, ts, seq, pts. A signal and its ticks meet on the time bucket; the ticks of one horizon are gathered in order and scanned by array functions.
-    """
-    bucket = lambda c: F.floor(F.unix_timestamp(c) / horizon_s)
-    s = signals.select("symbol", F.col("t").alias("st"), "id").withColumn("_k", F.explode(F.sequence(bucket("st"), bucket("st") + 1)))
-    k = ticks.withColumn("_k", bucket("ts"))
-    dt = F.unix_micros("ts") - F.unix_micros("st")
-    x = s.join(k, ["symbol", "_k"]).where((dt > 0) & (dt <= horizon_s * 1_000_000)).groupBy("symbol", "id", "st").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("u"), "seq", "pts"))).alias("x"))
-    entry = F.col("x")[0]["pts"] + spread / 2
-    hit = lambda f: F.array_position(F.transform(F.slice("x", 2, 1_000_000_000), f), True)
-    x = x.withColumns({"entry": entry, "si": hit(lambda b: b["pts"] - spread / 2 <= entry - sl), "ti": hit(lambda b: b["pts"] - spread / 2 >= entry + tp)})
-    late = F.col("x")[0]["u"] - F.unix_micros("st") > gap_s * 1_000_000
-    si, ti = F.col("si"), F.col("ti")
-    why = F.when(late, "session_gap").when((si > 0) & ((ti == 0) | (si < ti)), "sl").when(ti > 0, "tp").otherwise("time")
-    x = x.withColumn("exit_reason", why)
-    out = F.when(why == "sl", F.get("x", si.cast("int"))["pts"]).when(why == "tp", F.get("x", ti.cast("int"))["pts"]).otherwise(F.element_at("x", -1)["pts"]) - spread / 2
-    return x.select("symbol", "id", F.when(~late, F.col("entry")).alias("entry"), F.when(~late, out).alias("exit"), F.when(~late, out - F.col("entry")).alias("pnl"), "exit_reason")

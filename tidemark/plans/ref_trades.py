@@ -9,12 +9,13 @@ from ..functions import guards
 from ..functions import indicators as I
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import replay as P
 from ..operators import signals as G
 from ..operators import simulate as S
 from ..operators import validation as V
 from ..session import table
 from .ref_windows import ATR14, W0, with_atr
-from .substrate import HOURS, ORD, TICKS, TRADES, hours, ticks, trades
+from .substrate import HOURS, ORD, TICKS, TRADES, fives, hours, ticks, trades
 
 QUERIES, SQL = {}, {}
 
@@ -49,15 +50,40 @@ def _signals(s, d):
     return g.join(with_atr(s, d).select("symbol", "t", "atr"), ["symbol", "t"]).withColumns({"sl_dist": F.col("atr"), "tp_dist": 2 * F.col("atr")})
 
 
+HOUR_US = 3_600_000_000
+RULES = P.Rules(bar_us=HOUR_US, wait=3, hold=24, stops=5.0, freeze=2.0, gap_us=6 * HOUR_US, cost=7.0, slip=1.0, trades_a_day=5, daily_loss=0.05, start=100_000.0)
+
+
+def _orders(s, d):
+    """Signals as orders: break-even at one average range, trailing at one and a half, a spread of 10 points."""
+    a = F.col("atr")
+    return _signals(s, d).join(hours(s, d).select("symbol", "t", F.col("c").alias("close")), ["symbol", "t"]).select("symbol", F.unix_timestamp("t").alias("id"), F.unix_micros("t").alias("u"), "buy", "sell", "sl_dist", "tp_dist", a.alias("be_dist"), (1.5 * a).alias("trail_dist"), "close", F.lit(10.0).alias("spread"))
+
+
+def _quotes(s, d):
+    """Ticks with a spread of 10 points about them."""
+    return ticks(s, d).select("symbol", F.unix_micros("ts").alias("u"), (F.col("pts") - 5.0).alias("bid"), (F.col("pts") + 5.0).alias("ask"))
+
+
+def _times(x):
+    at = lambda c: F.timestamp_micros(c)
+    return x.select("symbol", at("u").alias("t"), *(c for c in ("side", "entry", "exit", "sl", "tp", "pnl", "reason", "spread", "state", "balance") if c in x.columns), at("entry_u").alias("entry_time"), at("exit_u").alias("exit_time"))
+
+
 @query("h01_sequential_sim")
 def h01(s, d):
-    return S.sequential(_signals(s, d), hours(s, d))
+    """One bracket position at a time on hourly signals, followed over five-minute bars."""
+    return _times(P.bracket_ea(_orders(s, d), fives(s, d).select("symbol", F.unix_micros("t").alias("u"), "h", "l", "c"), RULES))
 
 
 @query("h02_sim_result")
 def h02(s, d):
-    x = F.col("money")
-    return h01(s, d).groupBy("symbol", F.year("open_time").alias("year")).agg(*(R(c).alias(n) for n, c in M.summary(x).items()), R(M.profit_factor(x)).alias("pf"), F.max("balance").alias("top"))
+    """Reducer of h01: figures per symbol and year, with the exits by reason."""
+    x = F.col("pnl")
+    t = h01(s, d)
+    g = t.groupBy("symbol", F.year("exit_time").alias("year"))
+    reasons = {n: F.count_if(F.col("reason") == n).alias(n) for n in ("sl", "tp", "time_stop", "end_of_data")}
+    return g.agg(*(R(c).alias(n) for n, c in M.summary(x).items()), R(M.profit_factor(x)).alias("pf"), F.max("balance").alias("top"), *reasons.values())
 
 
 SIM = f"""WITH {HOURS}, {ATR14}, k AS (SELECT symbol, t, h, l, c + 0.3 * atr AS b, c - 0.3 * atr AS s, atr FROM a WHERE atr > 0 AND hour(t) >= 7 AND hour(t) < 20),
@@ -84,7 +110,14 @@ def h04(s, d):
 
 @query("h05_tick_replay")
 def h05(s, d):
-    return S.tick_replay(_signals(s, d).select("symbol", "t", F.unix_timestamp("t").alias("id")), ticks(s, d), 7200, 500.0, 900.0, 10.0, 3600)
+    """Every signal by itself over the ticks."""
+    return _times(P.tick_outcomes(_orders(s, d), _quotes(s, d), RULES))
+
+
+@query("h06_tick_book")
+def h06(s, d):
+    """The same with one position at a time and daily limits."""
+    return _times(P.tick_book(_orders(s, d), _quotes(s, d), RULES))
 
 
 TB = f"""WITH {HOURS}, {ATR14}, f AS (SELECT *, row_number() {ORD} AS i FROM a), k AS (SELECT symbol, t, i, atr FROM f WHERE atr > 0 AND c > o),

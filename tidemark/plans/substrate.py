@@ -34,6 +34,19 @@ HOURS = (
 )
 
 
+def fives(spark, sf_dir) -> DataFrame:
+    """Five-minute bars of the ticks: symbol, t, o, h, l, c, v, as `hours`."""
+    b = B.ticks_to_bars(ticks(spark, sf_dir), SERIES, "ts", "seq", "pts", F.window("ts", "5 minutes")["start"])
+    return b.select("symbol", "t", *(F.col(x).cast("double").alias(x) for x in "ohlc"), "v")
+
+
+FIVES = (
+    TICKS
+    + """, fives AS (SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS t, CAST(arg_min(pts, (ts, seq)) AS DOUBLE) AS o, CAST(max(pts) AS DOUBLE) AS h,
+  CAST(min(pts) AS DOUBLE) AS l, CAST(arg_max(pts, (ts, seq)) AS DOUBLE) AS c, CAST(count(*) AS BIGINT) AS v FROM ticks GROUP BY 1, 2)"""
+)
+
+
 def over(n: int | None = None, ahead: int = 0) -> Window:
     """The series' window in time order: the last n rows, or all before, to `ahead` rows on."""
     w = Window.partitionBy("symbol").orderBy("t")
