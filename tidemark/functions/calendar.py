@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,25 @@ def rule_blackout(ts: Column) -> Column:
 def first_friday(month: Column) -> Column:
     """Date of the first Friday of the month that starts at the date `month`."""
     return F.date_add(month, F.pmod(4 - F.weekday(month), F.lit(7)))
+
+
+# Dates and UTC times of the two central banks' decisions of 2026, in order.
+FED_2026 = ["2026-01-28 19:00", "2026-03-18 18:00", "2026-04-29 18:00", "2026-06-17 18:00", "2026-07-29 18:00", "2026-09-16 18:00", "2026-10-28 18:00", "2026-12-09 19:00"]
+ECB_2026 = ["2026-02-05 13:15", "2026-03-19 13:15", "2026-04-30 12:15", "2026-06-11 12:15", "2026-07-23 12:15", "2026-09-10 12:15", "2026-10-29 13:15", "2026-12-17 13:15"]
+
+
+def event_calendar(years: DataFrame) -> DataFrame:
+    """(ts, currency, event) of the scheduled events of the given years (column `year`, one row each), for use where no calendar is delivered.
+
+    Every month: payrolls on the first Friday and US prices on the 13th, half past 13 UTC in winter (November to February) and half past 12 else; euro prices on the 30th (28th of
+    February) at 9. Rate decisions are known for 2026 only; the bank's press conference follows half an hour after the decision.
+    """
+    m = years.where("year IS NOT NULL").select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("_m"), F.make_date("year", F.lit(1), F.lit(1)).alias("_y")).select(F.add_months("_y", F.col("_m") - 1).alias("first"), "_m")
+    late = F.when(F.col("_m").isin(1, 2, 11, 12), 13 * 60 + 30).otherwise(12 * 60 + 30)
+    rows = [(first_friday(F.col("first")), late, "USD", "NFP"), (F.date_add("first", 12), late, "USD", "US_CPI"), (F.date_add("first", F.when(F.col("_m") == 2, 27).otherwise(29)), F.lit(9 * 60), "EUR", "EU_CPI")]
+    at = lambda d, minute: F.timestamp_seconds(F.unix_timestamp(d.cast("timestamp")) + minute * 60)
+    monthly = m.select(F.explode(F.array(*(F.struct(at(d, k).alias("ts"), F.lit(c).alias("currency"), F.lit(e).alias("event")) for d, k, c, e in rows))).alias("e")).select("e.*")
+    half = F.expr("interval 30 minutes")
+    dated = [(F.lit(x).cast("timestamp"), "USD", "FOMC") for x in FED_2026] + [(F.lit(x).cast("timestamp"), "EUR", "ECB_RATE") for x in ECB_2026] + [(F.lit(x).cast("timestamp") + half, "EUR", "ECB_PRESSER") for x in ECB_2026]
+    rates = years.where("year = 2026").select(F.explode(F.array(*(F.struct(t.alias("ts"), F.lit(c).alias("currency"), F.lit(e).alias("event")) for t, c, e in dated))).alias("e")).select("e.*")
+    return monthly.unionByName(rates)

@@ -6,7 +6,7 @@ look-back is full, as a rolling window with full periods does. NaN never arises
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -55,12 +55,14 @@ def ewm_std(x: Column, w: WindowSpec, span: int, reach: int) -> Column:
     """Bias-corrected exponentially weighted deviation over the last `reach` rows."""
     d = 1 - 2 / (span + 1)
     zero = F.struct(*(F.lit(0.0).alias(k) for k in ("w", "w2", "x", "x2")))
+    last = F.collect_list(x).over(rows(w, reach))
+    shifted = F.transform(last, lambda v: v - F.get(last, F.lit(0)))  # a deviation does not depend on the level, but the sums of squares would lose their digits on it
     step = lambda a, v: F.struct((a["w"] * d + 1).alias("w"), (a["w2"] * d * d + 1).alias("w2"), (a["x"] * d + v).alias("x"), (a["x2"] * d + v * v).alias("x2"))
     def end(a):
         var = a["x2"] / a["w"] - (a["x"] / a["w"]) * (a["x"] / a["w"])
         fix = a["w"] * a["w"] - a["w2"]
         return F.when(fix > 1e-12, F.sqrt(F.greatest(var, F.lit(0.0)) * a["w"] * a["w"] / fix))
-    return F.aggregate(F.collect_list(x).over(rows(w, reach)), zero, step, end)
+    return F.aggregate(shifted, zero, step, end)
 
 
 def zscore(x: Column, w: WindowSpec, n: int) -> Column:
@@ -86,10 +88,13 @@ def forward(x: Column, w: WindowSpec, n: int, agg) -> Column:
     return F.when(F.count(x).over(ahead) >= n, agg(x).over(ahead))
 
 
-def run_length(flag: Column, w: WindowSpec) -> Column:
-    """Rows since `flag` was last false."""
-    n = F.row_number().over(w)
-    return n - F.coalesce(F.max(F.when(~flag, F.col("_pos"))).over(w.rowsBetween(-100_000_000, 0)), F.lit(0))
+def run_length(df: DataFrame, keys: list[str], t: str, flag: str, out: str) -> DataFrame:
+    """Add `out`: rows in a row, up to this one, for which `flag` holds (0 where it does not); null flags do not hold."""
+    w = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.coalesce(F.col(flag), F.lit(False))
+    n = F.count(F.lit(1)).over(w)
+    df = df.withColumns({"_n": n, "_on": on})
+    return df.withColumn(out, (F.col("_n") - F.coalesce(F.max(F.when(~F.col("_on"), F.col("_n"))).over(w), F.lit(0))).cast("int")).drop("_n", "_on")
 
 
 def with_warmup(df: DataFrame, keys: list[str], t: str, block_s: int, warmup_s: int) -> DataFrame:

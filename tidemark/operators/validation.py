@@ -279,24 +279,20 @@ def stationary_block_length(x) -> float:
     return float(min(max(1.0, (2 * g * g / d) ** (1 / 3) * n ** (1 / 3)), math.ceil(min(3 * math.sqrt(n), n / 3)))) if d > 0 else math.sqrt(n)
 
 
-def least_pf(trials: int, trades: int, years: float, win_rate: float = 0.5, confidence: float = 0.95) -> float:
-    """The least profit factor at which two-valued outcomes of this many trades pass the deflated Sharpe test against `trials`, found by bisection in [1, 10] (10: none does).
+def least_pf(trials: int, trades: int, years: float = 7.0, win_rate: float = 0.5, confidence: float = 0.95, skew: float = 0.0, kurt: float = 3.0, variance: float = 1.0) -> float:
+    """The least profit factor at which two-valued outcomes of this many trades pass the deflated Sharpe test against `trials`, by bisection in [1, 5] (5: none does).
 
-    Skewness and the fourth moment are those of two outcomes at the win rate; the variance of the trials' Sharpe ratios is that of a strategy without edge over the same years (one over the trades).
+    variance: of the trials' Sharpe ratios a year.
     """
+    per_year = max(trades / years, 1.0)
     q = 1 - win_rate
-    skew = (1 - 2 * win_rate) / math.sqrt(win_rate * q)
-    kurt = 3 + (1 - 6 * win_rate * q) / (win_rate * q)
-    per_year = trades / years
 
     def passes(pf: float) -> bool:
         gain = pf * q / win_rate
         sharpe = (win_rate * gain - q) / math.sqrt(win_rate * q * (gain + 1) ** 2)
-        return deflated_sharpe(sharpe, round(per_year * years), skew, kurt, trials, 1 / trades) >= confidence
+        return deflated_sharpe(sharpe, trades, skew, kurt, trials, variance / per_year) >= confidence
 
-    low, high = 1.0, 10.0
-    if not passes(high):
-        return high
+    low, high = 1.0, 5.0
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (low, mid) if passes(mid) else (mid, high)

@@ -9,7 +9,7 @@ from ..functions import indicators as I
 from ..functions.calendar import sessions
 from ..operators import labels as L
 from ..operators import signals as G
-from .substrate import HOURS, ORD, hours, over, w
+from .substrate import HOURS, ORD, WALK, hours, over, w, walk_hours
 
 QUERIES, SQL = {}, {}
 W0 = over
@@ -88,7 +88,7 @@ def e07(s, d):
     return b.select("symbol", "t", R(I.rsi(F.col("x"), W0(), 14, 100.0)).alias("rsi"))
 
 
-EMA = "list_reduce(list_prepend({{'s': 0.0::DOUBLE, 'n': 0.0::DOUBLE}}, list_transform(xs, lambda v: {{'s': v, 'n': 1.0::DOUBLE}})), lambda a, b: {{'s': a.s * {d} + b.s, 'n': a.n * {d} + b.n}})"
+EMA = "list_reduce(list_prepend({{'s': 0.0::DOUBLE, 'n': 0.0::DOUBLE}}, list_transform(xs, lambda each: {{'s': each, 'n': 1.0::DOUBLE}})), lambda a, b: {{'s': a.s * {d} + b.s, 'n': a.n * {d} + b.n}})"
 
 
 def _ema(span):
@@ -101,9 +101,12 @@ def e08(s, d):
     return hours(s, d).select("symbol", "t", R(I.ema(F.col("c"), W0(), 8)).alias("ema"))
 
 
-@query("e09_ewm_std")
+STD = "list_reduce(list_transform(xs, lambda v: {{'w': 1.0::DOUBLE, 'w2': 1.0::DOUBLE, 'x': v - xs[1], 'x2': (v - xs[1]) * (v - xs[1])}}), lambda a, b: {{'w': a.w * {d} + 1, 'w2': a.w2 * {d} * {d} + 1, 'x': a.x * {d} + b.x, 'x2': a.x2 * {d} + b.x2}})".format(d=1 - 2 / 21)
+
+
+@query("e09_ewm_std", f", g AS (SELECT symbol, t, list(c) {w(400)} AS xs FROM hours), r AS (SELECT symbol, t, {STD} AS r FROM g) SELECT symbol, t, round(CASE WHEN r.w * r.w - r.w2 > 1e-12 THEN sqrt(greatest(r.x2 / r.w - (r.x / r.w) * (r.x / r.w), 0) * r.w * r.w / (r.w * r.w - r.w2)) END, 4) AS sd FROM r")
 def e09(s, d):
-    return hours(s, d).select("symbol", "t", R(I.ewm_std(F.col("c") - 110000, W0(), 20, 400)).alias("sd"))
+    return hours(s, d).select("symbol", "t", R(I.ewm_std(F.col("c"), W0(), 20, 400), 4).alias("sd"))
 
 
 @query("e10_ema_distance", f", {_ema(8)}, r AS (SELECT symbol, t, {TRS} AS tr FROM hours), a AS (SELECT symbol, t, CASE WHEN count(tr) {w(14)} >= 14 THEN avg(tr) {w(14)} END AS atr FROM r) SELECT e.symbol, e.t, round((c - round(e.r.s / e.r.n, 6)) / round(atr, 6), 6) AS z FROM e JOIN a ON e.symbol = a.symbol AND e.t = a.t")
@@ -253,35 +256,60 @@ def f06(s, d):
 
 # -- signals -----------------------------------------------------------------------------------
 
-IND = f"""{ATR14}, x AS (SELECT *, c - lag(c, 5) {ORD} AS ret5, CASE WHEN count(v) {w(20)} >= 20 THEN avg(v) {w(20)} END AS vma, CASE WHEN count(h) {w(12)} >= 12 THEN max(h) {w(12)} END AS hi12, CASE WHEN count(l) {w(12)} >= 12 THEN min(l) {w(12)} END AS lo12 FROM a)"""
+def _mean(span: int) -> str:
+    """SQL of the exponential mean over its reach, once `span` bars are there."""
+    reach = int(34.5 * (span + 1) / 2) + 1
+    return f"CASE WHEN count(c) {w(span)} >= {span} THEN list(c) {w(reach)} END"
+
+
+IND = f"""{ATR14}, x1 AS (SELECT *, c - lag(c, 5) {ORD} AS ret5, CASE WHEN count(v) {w(20)} >= 20 THEN avg(v) {w(20)} END AS vma, CASE WHEN count(h) {w(12)} >= 12 THEN max(h) {w(12)} END AS hi12, CASE WHEN count(l) {w(12)} >= 12 THEN min(l) {w(12)} END AS lo12,
+  coalesce(c - lag(c) {ORD}, 0) AS x0, {_mean(8)} AS l8, {_mean(21)} AS l21, list(h + l + c) {w(20)} AS tps, CASE WHEN count(c) {w(20)} >= 20 THEN avg(c) {w(20)} END AS bbm, CASE WHEN count(c) {w(20)} >= 20 THEN stddev_samp(c) {w(20)} END AS bbs,
+  lag(h) {ORD} AS h1, lag(l) {ORD} AS l1, lag(h, 2) {ORD} AS h2, lag(l, 2) {ORD} AS l2 FROM a),
+ x2 AS (SELECT *, count(x0) {w(14)} AS rn, avg(greatest(x0, 0)) {w(14)} AS ru, avg(greatest(-x0, 0)) {w(14)} AS rd, list_avg(tps) AS tpm, CASE WHEN count(bbs) {w(30)} >= 30 THEN avg(4 * bbs) {w(30)} END AS bbwma,
+  CASE WHEN l8 IS NOT NULL THEN {EMA.format(d=1 - 2 / 9).replace("xs", "l8")} END AS r8, CASE WHEN l21 IS NOT NULL THEN {EMA.format(d=1 - 2 / 22).replace("xs", "l21")} END AS r21 FROM x1),
+ x3 AS (SELECT *, CASE WHEN rn >= 14 AND rd <> 0 THEN 100 - 100 / (1 + ru / rd) ELSE 100 END AS rsi, list_sum(list_transform(tps, lambda each: abs(each - tpm))) / 20 AS dev, r8.s / r8.n AS e8, r21.s / r21.n AS e21 FROM x2), {ASIA},
+ x AS (SELECT x3.*, CASE WHEN len(tps) >= 20 AND dev > 0 THEN (h + l + c - tpm) / (0.015 * dev) ELSE 0 END AS cci, hi AS ahi, lo AS alo FROM x3 LEFT JOIN z ON x3.symbol = z.symbol AND CAST(x3.t AS DATE) = z.day)"""
 SIG = """, k AS (SELECT symbol, t, h, l, {buy} AS b, {sell} AS s FROM x WHERE atr > 0 AND hour(t) >= 7 AND hour(t) < 20), u AS (SELECT symbol, t, CASE WHEN h >= b THEN NULL ELSE b END AS b, CASE WHEN l <= s THEN NULL ELSE s END AS s FROM k),
  n AS (SELECT symbol, t, b, s, count(b) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t) AS nb, count(s) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t) AS ns FROM u)
  SELECT symbol, t, round(CASE WHEN nb = 1 THEN b END, 4) AS buy, round(CASE WHEN ns = 1 THEN s END, 4) AS sell FROM n WHERE (b IS NOT NULL AND nb = 1) OR (s IS NOT NULL AND ns = 1)"""
-UP, DN = "c + 0.3 * atr", "c - 0.3 * atr"
+UP, DN, NONE = "c + 0.3 * atr", "c - 0.3 * atr", "CAST(NULL AS DOUBLE)"
+NIGHT = "ahi - alo > 0 AND ahi - alo <= 10 * atr"
+
+
+def _if(cond: str, level: str) -> str:
+    return f"CASE WHEN {cond} THEN {level} END"
+
+
+def _unless(cond: str, level: str) -> str:
+    return f"CASE WHEN NOT coalesce({cond}, false) THEN {level} END"
+
+
 # Each strategy's levels in SQL, as the library has them: both sides, or null where it does not fire.
 LEVELS = {
-    "atr_bracket": (UP, DN),
-    "momentum_long": (f"CASE WHEN NOT coalesce(ret5 <= 0, false) THEN {UP} END", "CAST(NULL AS DOUBLE)"),
-    "momentum_short": ("CAST(NULL AS DOUBLE)", f"CASE WHEN NOT coalesce(ret5 >= 0, false) THEN {DN} END"),
-    "momentum_bracket": (f"CASE WHEN NOT coalesce(ret5 <= 0, false) THEN {UP} END", f"CASE WHEN NOT coalesce(ret5 >= 0, false) THEN {DN} END"),
+    "atr_bracket": (UP, DN), "atr_breakout": (UP, DN), "null_bracket": (UP, DN), "night_range": (_if(NIGHT, "ahi"), _if(NIGHT, "alo")),
+    "momentum_long": (_unless("ret5 <= 0", UP), NONE), "momentum_short": (NONE, _unless("ret5 >= 0", DN)), "momentum_bracket": (_unless("ret5 <= 0", UP), _unless("ret5 >= 0", DN)),
+    "fade_long": (_if("rsi < 35", UP), NONE), "fade_short": (NONE, _if("rsi > 65", DN)), "rsi_long": (_if("rsi > 55", UP), NONE), "rsi_short": (NONE, _if("rsi < 45", DN)),
+    "ema_cross_long": (_unless("e8 <= e21", UP), NONE), "ema_cross_short": (NONE, _unless("e8 >= e21", DN)), "ema_trend_bracket": (_unless("e8 <= e21", UP), _unless("e8 >= e21", DN)),
+    "ema_fade_long": (_unless("e8 >= e21", UP), NONE), "ema_fade_short": (NONE, _unless("e8 <= e21", DN)),
     "breakout_range": ("hi12", "lo12"),
-    "vol_spike_bracket": (f"CASE WHEN vma > 0 AND v >= 1.2 * vma THEN {UP} END", f"CASE WHEN vma > 0 AND v >= 1.2 * vma THEN {DN} END"),
-    "vol_quiet_bracket": (f"CASE WHEN vma > 0 AND v < 0.5 * vma THEN {UP} END", f"CASE WHEN vma > 0 AND v < 0.5 * vma THEN {DN} END"),
+    "vol_spike_bracket": (_if("vma > 0 AND v >= 1.2 * vma", UP), _if("vma > 0 AND v >= 1.2 * vma", DN)), "vol_quiet_bracket": (_if("vma > 0 AND v < 0.5 * vma", UP), _if("vma > 0 AND v < 0.5 * vma", DN)),
+    "high_vol_long": (_if("vma > 0 AND v >= 1.2 * vma AND NOT coalesce(ret5 <= 0, false)", UP), NONE), "high_vol_short": (NONE, _if("vma > 0 AND v >= 1.2 * vma AND NOT coalesce(ret5 >= 0, false)", DN)),
+    "cci_fade_long": (_if("cci <= -200", UP), NONE), "cci_fade_short": (NONE, _if("cci >= 200", DN)),
+    "bb_squeeze_long": (_if("4 * bbs < 0.7 * bbwma AND c > bbm + 2 * bbs", UP), NONE), "bb_squeeze_short": (NONE, _if("4 * bbs < 0.7 * bbwma AND c < bbm - 2 * bbs", DN)),
+    "inside_inside_long": (_if("h < h1 AND l > l1 AND h1 < h2 AND l1 > l2", "h2"), NONE), "inside_inside_short": (NONE, _if("h < h1 AND l > l1 AND h1 < h2 AND l1 > l2", "l2")),
 }
 
 
 def _signal(name):
     def f(s, d):
-        return G.generate(G.context(hours(s, d), W0()), name, W0(), vol_mult=1.2)
+        return G.generate(G.context(walk_hours(s, d), W0()), name, W0(), vol_mult=1.2)
 
     return f
 
 
-for _n, (_b, _s) in LEVELS.items():
-    query(f"g_{_n}", f", {IND}" + SIG.format(buy=_b, sell=_s))(_signal(_n))
 for _n in G.STRATEGIES:
-    if _n not in LEVELS:
-        query(f"g_{_n}")(_signal(_n))
+    query(f"g_{_n}")(_signal(_n))
+    SQL[f"g_{_n}"] = f"WITH {WALK}, {IND}" + SIG.format(buy=LEVELS[_n][0], sell=LEVELS[_n][1])
 
 
 @query("g28_night_fade")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p_core, ref_bars, ref_more, ref_trades, ref_windows, streams
+from . import p_core, ref_bars, ref_extra, ref_more, ref_trades, ref_windows, streams
 
-MODULES = [p_core, ref_bars, ref_windows, ref_trades, ref_more, streams]
+MODULES = [p_core, ref_bars, ref_windows, ref_trades, ref_more, ref_extra, streams]
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from ..operators.metrics import equity
 from ..session import table
 
 SERIES = ["symbol"]
@@ -47,6 +48,21 @@ FIVES = (
 )
 
 
+def walk_hours(spark, sf_dir) -> DataFrame:
+    """Hourly bars of a random walk made of the ticks (each moves the price by up to 100 points), so that prices trend, as in a market: symbol, t, o, h, l, c, v."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.round(F.col("value") * 100).cast("bigint") % 201 - 100).alias("step"))
+    k = equity(e.where("symbol IS NOT NULL"), ["symbol"], ["ts", "seq"], "step").select("symbol", "ts", "seq", (110000 + F.col("equity")).alias("pts"))
+    b = B.ticks_to_bars(k, SERIES, "ts", "seq", "pts", F.date_trunc("hour", "ts"))
+    return b.select("symbol", "t", *(F.col(x).cast("double").alias(x) for x in "ohlc"), "v")
+
+
+#: The same, as `hours`.
+WALK = """ticks AS (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, event_id AS seq,
+  110000 + sum(CAST(round(value * 100) AS BIGINT) % 201 - 100) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS pts FROM events WHERE event_type IS NOT NULL),
+  hours AS (SELECT symbol, date_trunc('hour', ts) AS t, CAST(arg_min(pts, (ts, seq)) AS DOUBLE) AS o, CAST(max(pts) AS DOUBLE) AS h,
+  CAST(min(pts) AS DOUBLE) AS l, CAST(arg_max(pts, (ts, seq)) AS DOUBLE) AS c, CAST(count(*) AS BIGINT) AS v FROM ticks GROUP BY 1, 2)"""
+
+
 def over(n: int | None = None, ahead: int = 0) -> Window:
     """The series' window in time order: the last n rows, or all before, to `ahead` rows on."""
     w = Window.partitionBy("symbol").orderBy("t")

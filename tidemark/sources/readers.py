@@ -12,7 +12,7 @@ TICK = T.StructType([T.StructField("time", T.TimestampType()), T.StructField("bi
 # Names under which a time column is looked for, in this order.
 TIME_NAMES = ["time", "datetime", "timestamp", "date"]
 # Spellings tried for a printed time.
-TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
+TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
 
 
 def ticks(spark: SparkSession, *paths: str) -> DataFrame:
@@ -101,9 +101,36 @@ def bi5(spark: SparkSession, path: str, divisor: float = 1e5, low: float = 0.0,
 
 
 def decode_report(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of report files in UTF-16 (by its mark), UTF-8 or Latin-1."""
+    """(path, text) of report files in UTF-16 (by its mark, or little-endian without one, told by a first letter of two bytes), UTF-8 or Latin-1."""
     f = spark.read.format("binaryFile").load(path)
     head = F.hex(F.substring("content", 1, 2))
     wide = F.decode("content", "UTF-16")
     narrow = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    return f.select("path", F.regexp_replace(F.when(head.isin("FFFE", "FEFF"), wide).otherwise(narrow), "^\\x{FEFF}", "").alias("text"))
+    return f.select("path", F.regexp_replace(F.when(head.isin("FFFE", "FEFF"), wide).when(head.endswith("00") & (F.octet_length("content") % 2 == 0), F.decode("content", "UTF-16LE")).otherwise(narrow), "^\\x{FEFF}", "").alias("text"))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def spread_series(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """(time, spread_points, spread_price) of the first of `paths` that is there and can be read: parquet, or CSV by its ending; None if none is. Types are declared, so a file that lacks a column fails over, too."""
+    kinds = "time bigint, spread_points int, spread_price float"
+    need = ["time", "spread_points", "spread_price"]
+    for p in paths:
+        if not _there(spark, p):
+            continue
+        df = spark.read.csv(p, header=True, inferSchema=False) if p.lower().endswith((".csv", ".csv.gz")) else spark.read.parquet(p)
+        if set(need) <= set(df.columns):
+            return df.select(*(F.col(n).cast(t).alias(n) for n, t in (x.split() for x in kinds.split(", "))))
+    return None
+
+
+def history(chunks: list[DataFrame], key: list[str]) -> DataFrame:
+    """Chunks of a history that overlap at their ends, put together: one row per key, that of the later chunk. Null keys form one key; chunks may lack columns."""
+    out = None
+    for i, c in enumerate(chunks):
+        c = c.withColumn("_chunk", F.lit(i)).withColumn("_row", F.xxhash64(*c.columns))
+        out = c if out is None else out.unionByName(c, allowMissingColumns=True)
+    return dedup(out, key, ["_chunk", "_row"], "last").drop("_chunk", "_row")

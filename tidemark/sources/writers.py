@@ -25,6 +25,6 @@ def artifacts(parts: dict[str, DataFrame], folder: str) -> None:
 
 
 def ini(df: DataFrame, path: str, section: str = "Tester") -> None:
-    """key, value rows (key, value) of one section as UTF-16 text."""
-    body = df.orderBy("key").agg(F.concat_ws("\r\n", F.lit(f"[{section}]"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: F.concat_ws("=", x["key"], x["value"])), "\r\n")).alias("value"))
-    body.write.mode("overwrite").option("encoding", "UTF-16LE").option("lineSep", "\n").csv(path, quote="", escapeQuotes=False)
+    """Settings (key, value), in order of key, as one section of a UTF-16 text file: one small file for a terminal, so a single task writes its lines."""
+    lines = df.select(F.concat_ws("=", "key", "value").alias("value"), "key").unionByName(df.sparkSession.range(1).select(F.lit(f"[{section}]").alias("value"), F.lit(None).cast("string").alias("key")))
+    lines.coalesce(1).sortWithinPartitions(F.col("key").asc_nulls_first()).select("value").write.mode("overwrite").option("encoding", "UTF-16LE").option("lineSep", "\n").csv(path, quote="", escapeQuotes=False)

@@ -52,22 +52,7 @@ def limited_trades(trades: DataFrame, max_per_day: int, daily_loss: float) -> Da
                 latch = peak - eq >= 4 * daily_loss
             rows.append((key[0], int(r.log_id), go, eq))
         st.update((day, n, loss, eq, peak, bool(latch)))
-        yield pd.DataFrame(rows, columns=["book", "log_id", "admitted", "equity"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["book", "log_id", "admitted", "equity"])
 
     return trades.groupBy("book").applyInPandasWithState(run, out, state, "append", "NoTimeout")
-
-
-def recent(ticks: DataFrame, keep: int = 800) -> DataFrame:
-    """The last `keep` prices' mean and range per symbol after each batch: a ring buffer in the state store."""
-    out = "symbol string, n int, mean double, spread double"
-
-    def run(key, frames: Iterator, st) -> Iterator:
-        import pandas as pd
-
-        old = list(st.get[0]) if st.exists else []
-        pdf = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-        buf = (old + [float(x) for x in pdf["pts"]])[-keep:]
-        st.update((buf,))
-        yield pd.DataFrame([(key[0], len(buf), sum(buf) / len(buf), max(buf) - min(buf))], columns=["symbol", "n", "mean", "spread"])
-
-    return ticks.groupBy("symbol").applyInPandasWithState(run, out, "buf array<double>", "update", "NoTimeout")
