@@ -88,19 +88,23 @@ def frozen(phase: DataFrame, keys: list[str], same: list[str], least: int) -> Da
     return long.unionByName(edges.select(*keys, "_chunk", "_run")).distinct()
 
 
-def ellipsoid(points: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, centre, half-axes, points): a robust fit per series, with half-axes of sqrt(2 ln n) robust deviations (the expected maximum of n normal values)."""
+def ellipsoid(points: DataFrame, keys: list[str], value: str, size: str | None = None, factor: float = 1.0) -> DataFrame:
+    """(keys, centre, half-axes, points): a robust fit per series of the points with a value, with half-axes of sqrt(2 ln n) robust deviations (the expected maximum of n normal values).
+
+    With `size`, also `_most`: `factor` times a lower bound of the median size. A spike's limit is at or above it, so a value's half-axis never reaches beyond it: however
+    wide a series scatters, no case lies inside.
+    """
     q = lambda c, *p: F.percentile_approx(c, F.array(*(F.lit(v) for v in p)), F.lit(ACCURACY))
-    s = points.groupBy(*keys).agg(q(F.col(value), 0.25, 0.5, 0.75).alias("_q"), q(F.abs("_d1"), 0.5).alias("_q1"), q(F.abs("_d2"), 0.5).alias("_q2"), F.count(F.lit(1)).alias("_n"))
+    has = F.col(value).isNotNull()
+    if size:
+        low = F.percentile_approx(F.when(~F.isnan(size), F.col(size)), F.lit(0.5 - 4 / ACCURACY), F.lit(ACCURACY)) * factor
+    else:
+        low, points = F.lit(None).cast("double"), points.where(has)
+    d = lambda c: F.when(has, F.abs(c))
+    s = points.groupBy(*keys).agg(q(F.col(value), 0.25, 0.5, 0.75).alias("_q"), q(d("_d1"), 0.5).alias("_q1"), q(d("_d2"), 0.5).alias("_q2"), F.count_if(has).alias("_n"), low.alias("_most"))
     reach = F.sqrt(2 * F.log(F.greatest(F.col("_n"), F.lit(3))))
     half = lambda c: reach * ABS_SD * F.coalesce(F.col(c)[0], F.lit(0.0))
-    return s.select(*keys, F.col("_q")[1].alias("_c"), (reach * IQR_SD * (F.col("_q")[2] - F.col("_q")[0])).alias("_a"), half("_q1").alias("_b1"), half("_q2").alias("_b2"), "_n")
-
-
-def usual_size(phase: DataFrame, keys: list[str], size: str, factor: float) -> DataFrame:
-    """(keys, `_most`): per series `factor` times a lower bound of the median size. A spike's limit is at or above it, so a value's half-axis never reaches beyond it: however wide a series scatters, no case lies inside."""
-    low = F.percentile_approx(F.when(~F.isnan(size), F.col(size)), F.lit(0.5 - 4 / ACCURACY), F.lit(ACCURACY))
-    return phase.groupBy(*keys).agg((low * factor).alias("_most"))
+    return s.where("_n > 0").select(*keys, F.col("_q")[1].alias("_c"), (reach * IQR_SD * (F.col("_q")[2] - F.col("_q")[0])).alias("_a"), half("_q1").alias("_b1"), half("_q2").alias("_b2"), "_n", "_most")
 
 
 def _axis(d: Column, half: Column) -> Column:
@@ -118,25 +122,24 @@ def outside(points: DataFrame, fit: DataFrame, keys: list[str], value: str) -> D
     return points.join(fit, _all_equal(keys), "left").withColumn("_out", out).drop(*(f"_r_{k}" for k in keys), "_c", "_a", "_b1", "_b2", "_most")
 
 
-def candidates(phase: DataFrame, keys: list[str], value: str, size: str, factor: float) -> DataFrame:
-    """The points of `phase` outside their series' ellipsoid, fitted again without them until a round finds no further one (ROUNDS at most).
+def candidates(points: DataFrame, keys: list[str], value: str, size: str, factor: float) -> DataFrame:
+    """The points outside their series' ellipsoid, fitted again without them until a round finds no further one (ROUNDS at most).
 
     Each round is one aggregate over the written points; the fits are one row per series.
     """
-    points = phase.where(F.col(value).isNotNull())
-    most = written(usual_size(phase, keys, size, factor), "usual-size")
-    fit, before = None, -1
-    for _ in range(ROUNDS):
-        calm = points if fit is None else outside(points, fit, keys, value).where("NOT _out")
-        new = ellipsoid(calm, keys, value)
-        if fit is not None:  # a series without calm points keeps the fit it had
-            new = new.unionByName(fit.drop("_most").join(new.select(*(F.col(k).alias(f"_r_{k}") for k in keys)), _all_equal(keys), "left_anti"))
-        fit = written(new.join(most.select(*(F.col(k).alias(f"_r_{k}") for k in keys), "_most"), _all_equal(keys), "left").drop(*(f"_r_{k}" for k in keys)), "ellipsoid")
+    fit = written(ellipsoid(points, keys, value, size, factor), "ellipsoid")
+    first, before = fit, fit.agg(F.sum("_n")).first()[0]
+    other = lambda df, *c: df.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *c)
+    for _ in range(ROUNDS - 1):
+        new = ellipsoid(outside(points, fit, keys, value).where("NOT _out").select(*points.columns), keys, value).drop("_most")
+        # a series without calm points keeps the fit it had
+        new = new.unionByName(fit.drop("_most").join(other(new), _all_equal(keys), "left_anti"))
+        fit = written(new.join(other(first, "_most"), _all_equal(keys), "left").drop(*(f"_r_{k}" for k in keys)), "ellipsoid")
         inside = fit.agg(F.sum("_n")).first()[0]
         if inside == before:
             break
         before = inside
-    return outside(points, fit, keys, value).where("_out").drop("_out")
+    return outside(points.where(F.col(value).isNotNull()), fit, keys, value).where("_out").drop("_out")
 
 
 def flag_implausible(readings: DataFrame, keys: list[str], id: str, time: str, *, value: str, size: str, bad: str, same: list[str], ok: str, least: int, factor: float = 10.0) -> DataFrame:
@@ -150,10 +153,11 @@ def flag_implausible(readings: DataFrame, keys: list[str], id: str, time: str, *
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
     df = readings.select(*dict.fromkeys([*keys, id, time, value, size, *same]), f(bad).alias("_bad"), f(ok).alias("_ok"))
     phase = written(phase_space(df, keys, id, time, value, same, "_ok", ["_bad", size]), "phase-space")
-    far = written(candidates(with_heads(phase, keys, value).select(*keys, id, value, size, "_d1", "_d2"), keys, value, size, factor).select(*keys, id, value), "candidates")
+    points = written(with_heads(phase, keys, value).select(*keys, id, value, size, "_d1", "_d2"), "points")
+    far = written(candidates(points, keys, value, size, factor).select(*keys, id, value), "candidates")
     # exact medians of the series that have a candidate
     series = far.select(*(F.col(k).alias(f"_r_{k}") for k in keys)).distinct()
-    usual = exact_median(phase.where(F.col(size).isNotNull()).join(series, _all_equal(keys), "left_semi").select(*keys, size), keys, size)
+    usual = exact_median(points.where(F.col(size).isNotNull()).join(series, _all_equal(keys), "left_semi").select(*keys, size), keys, size)
     usual = usual.select(*(F.col(k).alias(f"_r_{k}") for k in keys), (F.col("median") * factor).alias("_limit"))
     found = lambda df, kind: df.select(*keys, id, *((F.lit(k == kind)).alias(k) for k in ("spike", "frozen", "impossible")))
     spikes = found(far.join(usual, _all_equal(keys)).where(F.col(value) > F.col("_limit")), "spike")
