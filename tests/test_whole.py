@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import implausible
 from tidemark.operators import joins as J
@@ -147,3 +148,28 @@ def test_most_readings_over_the_limit(spark, step):
     df = spark.createDataFrame(good + bad, "bar_id bigint, feed string, symbol string, open double, high double, low double, close double, tick_volume bigint, t_ms bigint")
     got = {r.bar_id for r in implausible.implausible_bars(df).where("spike").collect()}
     assert got == {b[0] for b in bad}
+
+
+def test_blocks_are_the_whole_series(spark):
+    """Windows over blocks and running exponential means give what one sort of the whole series gives, over holes, nulls and null keys."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import Window
+
+    from tidemark.functions import indicators as I
+
+    rng = np.random.default_rng(4)
+    rows = [(s, datetime(2024, 1, 1) + timedelta(hours=int(h)), float(x) if x > -1.2 else None) for s in ("a", "b", None) for h, x in zip(np.cumsum(rng.integers(1, 30, 700)), rng.normal(0, 1, 700))]
+    df = spark.createDataFrame(rows, "symbol string, t timestamp, x double")
+    b = I.in_blocks(df, ["symbol"], "t", 9, 3, size=16)
+    w, whole = I.block_window("symbol"), Window.partitionBy("symbol").orderBy("t")
+    agg = lambda w: {"m": F.avg("x").over(w.rowsBetween(-9, 0)), "n": F.max("x").over(w.rowsBetween(1, 3)), "g": F.lag("x", 4).over(w)}
+    key = lambda r: (r.symbol or "", r.t)
+    got, want = (sorted(x.select("symbol", "t", "m", "n", "g").collect(), key=key) for x in (I.own(b.withColumns(agg(w))), df.withColumns(agg(whole))))
+    assert got == want and len(got) == len(rows)
+    e = I.with_ema(I.with_position(df, ["symbol"], "t", 5 * 86_400), ["symbol"], "t", {"e8": ("x", 8), "e50": ("x", 50)})
+    pdf = e.toPandas().sort_values("t")
+    for s in ("a", "b", None):
+        g = pdf[pdf.symbol.isna()] if s is None else pdf[pdf.symbol == s]
+        for name, span in (("e8", 8), ("e50", 50)):
+            np.testing.assert_allclose(g[name].to_numpy(float), g.x.astype(float).ewm(span=span, adjust=True).mean().to_numpy(), rtol=1e-9, atol=1e-12)

@@ -49,3 +49,13 @@ def fnv1a32(text: Column) -> Column:
     # the product is taken in two halves, so that 64 bits suffice
     mul = lambda h: ((h % 65536) * 16777619 + ((F.shiftright(h, 16) * 16777619) % 65536) * 65536).bitwiseAND(mask)
     return F.aggregate(codes, F.lit(2166136261), lambda h, c: mul(h.bitwiseXOR(c)))
+
+
+def drawn(seed: int, *key: Column) -> Column:
+    """A text that depends on the key and the seed alone, by which rows are put into a random order that any engine can repeat."""
+    return F.md5(F.concat_ws("|", *(k.cast("string") for k in key), F.lit(str(seed))))
+
+
+def drawn_below(text: Column, n: int) -> Column:
+    """A whole number from 0 to n - 1 from the first four digits of a drawn text (n far below 65536)."""
+    return F.conv(F.substring(text, 1, 4), 16, 10).cast("int") % n

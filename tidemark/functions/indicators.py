@@ -97,12 +97,79 @@ def run_length(df: DataFrame, keys: list[str], t: str, flag: str, out: str) -> D
     return df.withColumn(out, (F.col("_n") - F.coalesce(F.max(F.when(~F.col("_on"), F.col("_n"))).over(w), F.lit(0))).cast("int")).drop("_n", "_on")
 
 
-def with_warmup(df: DataFrame, keys: list[str], t: str, block_s: int, warmup_s: int) -> DataFrame:
-    """Split long series into blocks of time (`_block`), each led by copies of the rows of the `warmup_s` before it (`_warm`).
+#: Rows of a series whose running sums are one window of `with_ema`.
+RUN = 128
 
-    Windows of bounded look-back are then taken over (keys, _block), many tasks to a series, and the `_warm` rows dropped; warmup_s must span the look-back.
+
+def _same(keys: list[str], mark: str) -> Column:
+    cond = None
+    for k in keys:
+        eq = F.col(k).eqNullSafe(F.col(f"{mark}{k}"))
+        cond = eq if cond is None else cond & eq
+    return cond
+
+
+def with_position(df: DataFrame, keys: list[str], t: str, block_s: int = 30 * 86_400) -> DataFrame:
+    """Add `_p`, each row's place in its series by time (from 0), without sorting a series in one task: places within blocks of time, and one row per block for what lies before it."""
+    x = df.withColumn("_tb", F.floor(F.unix_timestamp(t) / block_s))
+    x = x.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "_tb").orderBy(t)) - 1)
+    n = x.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(*(F.col(k).alias(f"_n_{k}") for k in keys), F.col("_tb").alias("_n__tb"), before.alias("_off"))
+    x = x.join(n, _same([*keys, "_tb"], "_n_")).withColumn("_p", F.col("_p") + F.col("_off"))
+    return x.select(*df.columns, "_p")
+
+
+def _aged(name: str, fade: float):
+    """Step of a fold over run ends, oldest first."""
+    return lambda a, e: F.struct((a["s"] * fade + e[f"_s_{name}"]).alias("s"), (a["w"] * fade + e[f"_w_{name}"]).alias("w"))
+
+
+def with_ema(df: DataFrame, keys: list[str], t: str, means: dict[str, tuple[str, int]]) -> DataFrame:
+    """Add the exponential means {name: (column, span)} of each series, the same as `ema`, as running sums: no row copies its look-back.
+
+    Needs `_p` (`with_position`). A series falls into runs of RUN rows, each a window of its own; what a run inherits is folded from the ends of those before it within the reach, one row per run. A null value
+    has no weight of its own, but those before it age over it.
+    """
+    x = df.withColumns({"_run": F.floor(F.col("_p") / RUN), "_r": (F.col("_p") % RUN).cast("double")})
+    w = Window.partitionBy(*keys, "_run").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    sums, ends, take = {}, [], {}
+    for name, (c, span) in means.items():
+        d = 1 - 2 / (span + 1)
+        up = F.pow(F.lit(1 / d), F.col("_r"))
+        back = F.pow(F.lit(d), F.col("_r"))
+        sums |= {f"_s_{name}": F.coalesce(F.sum(F.col(c) * up).over(w), F.lit(0.0)) * back, f"_w_{name}": F.coalesce(F.sum(F.when(F.col(c).isNotNull(), up)).over(w), F.lit(0.0)) * back}
+    x = x.withColumns(sums)
+    last = x.groupBy(*keys, "_run").agg(F.max_by(F.struct(*sums), "_r").alias("_e"))
+    for name, (_, span) in means.items():
+        d = 1 - 2 / (span + 1)
+        m = int(34.5 * (span + 1) / 2) // RUN + 1
+        before = F.collect_list("_e").over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(-m, -1))
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+        ends.append(F.aggregate(before, zero, _aged(name, d**RUN)).alias(f"_b_{name}"))
+        fade = F.pow(F.lit(d), F.col("_r") + 1)
+        total = F.col(f"_w_{name}") + fade * F.col(f"_b_{name}.w")
+        take[name] = F.when(total > 0, (F.col(f"_s_{name}") + fade * F.col(f"_b_{name}.s")) / total)
+    last = last.select(*(F.col(k).alias(f"_l_{k}") for k in keys), F.col("_run").alias("_l__run"), *ends)
+    return x.join(last, _same([*keys, "_run"], "_l_")).select(*df.columns, *(c.alias(n) for n, c in take.items()))
+
+
+def in_blocks(df: DataFrame, keys: list[str], t: str, back: int, ahead: int = 0, size: int = 4096) -> DataFrame:
+    """Split series into blocks (`_block`) of `size` rows, each with copies of the `back` rows before and the `ahead` rows after it (`_extra`).
+
+    Windows over (keys, _block) in time order that look back and ahead no further are then the same as over whole series, in many tasks; `own` drops the copies. Rows are counted, not
+    time, so holes and sparse series make no difference. Adds `_p` where it is missing.
     """
-    at = F.unix_timestamp(t)
-    own = F.floor(at / block_s)
-    blocks = F.when((F.floor((at + warmup_s) / block_s) > own), F.array(own, own + 1)).otherwise(F.array(own))
-    return df.withColumn("_block", F.explode(blocks)).withColumn("_warm", F.col("_block") > own)
+    x = df if "_p" in df.columns else with_position(df, keys, t)
+    at = lambda p: F.floor(p / size)
+    x = x.withColumn("_block", F.explode(F.sequence(at(F.greatest(F.col("_p") - ahead, F.lit(0))), at(F.col("_p") + back))))
+    return x.withColumn("_extra", F.col("_block") != at(F.col("_p")))
+
+
+def own(df: DataFrame) -> DataFrame:
+    """The rows of `in_blocks` that are no copies."""
+    return df.where("NOT _extra").drop("_p", "_block", "_extra")
+
+
+def block_window(*keys: str, t: str = "t") -> WindowSpec:
+    return Window.partitionBy(*keys, "_block").orderBy(t)

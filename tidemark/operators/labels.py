@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..functions.guards import drawn
 from ..functions.indicators import forward
 
 
@@ -43,5 +44,5 @@ def permuted(df: DataFrame, keys: list[str], t: str, label: str, seed: int) -> D
     """Labels dealt anew to the rows of each key: ranks by time meet ranks by a seeded hash."""
     w = Window.partitionBy(*keys)
     a = df.drop(label).withColumn("_i", F.row_number().over(w.orderBy(t)))
-    b = df.select(*keys, label, F.row_number().over(w.orderBy(F.xxhash64(t, F.lit(seed)), t)).alias("_i"))
+    b = df.select(*keys, label, F.row_number().over(w.orderBy(drawn(seed, F.unix_micros(t)), t)).alias("_i"))
     return a.join(b, [*keys, "_i"]).drop("_i")

@@ -48,10 +48,16 @@ def max_drawdown(eq: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drawdown_events(eq: DataFrame, keys: list[str], order: list[str], top: int) -> DataFrame:
-    """The deepest `top` falls between new highs per key: peak time, trough time, depth, recovery time (null: not recovered)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """The deepest `top` falls between new highs per key: peak time, trough time, depth, recovery time (null: not recovered).
+
+    Highs are counted within (keys, chunk of time), with offsets from one row per chunk.
+    """
     ts = order[0]
-    df = eq.withColumn("_high", (F.col("dd") == 0).cast("int")).withColumn("_seg", F.sum("_high").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = eq.withColumns({"_high": (F.col("dd") == 0).cast("int"), "_c": F.floor(F.unix_timestamp(ts) / CHUNK_S)})
+    df = df.withColumn("_in", F.sum("_high").over(Window.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = df.groupBy(*keys, "_c").agg(F.sum("_high").alias("_n"))
+    parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    df = df.join(parts, [*keys, "_c"]).withColumn("_seg", F.col("_in") + F.col("_off"))
     ev = df.groupBy(*keys, "_seg").agg(F.min(ts).alias("peak_time"), F.max("dd").alias("depth"), F.min_by(ts, F.struct(-F.col("dd"), *order)).alias("trough_time"))
     ev = ev.withColumn("recovery_time", F.lead("peak_time").over(Window.partitionBy(*keys).orderBy("_seg"))).where("depth > 0")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("depth"), "peak_time", "_seg"))

@@ -23,18 +23,24 @@ def inside(w: WindowSpec) -> Column:
     return (F.col("h") < h(1)) & (F.col("l") > lo(1)) & (h(1) < h(2)) & (lo(1) > lo(2))
 
 
-def context(bars: DataFrame, w: WindowSpec) -> DataFrame:
-    """All indicators the strategies look at, over one sort of each series."""
+#: Rows the indicators of `context` look back (the band's mean width over 30 of 20 rows, channels of 48).
+BACK = 64
+
+
+def context(bars: DataFrame) -> DataFrame:
+    """All indicators the strategies look at: symbol, t, o, h, l, c, v and they. Series are taken in blocks with the rows before them, exponential means as running sums."""
     c = F.col("c")
-    df = bars.withColumns({"tr": I.true_range(w, seed=True), "diff": F.coalesce(c - F.lag("c").over(w), F.lit(0.0)), "tp": F.col("h") + F.col("l") + c})
+    df = I.with_ema(I.with_position(bars, ["symbol"], "t"), ["symbol"], "t", {"ema8": ("c", 8), "ema21": ("c", 21)})
+    df, w = I.in_blocks(df, ["symbol"], "t", BACK), I.block_window("symbol")
+    df = df.withColumns({"tr": I.true_range(w, seed=True), "diff": F.coalesce(c - F.lag("c").over(w), F.lit(0.0)), "tp": F.col("h") + F.col("l") + c})
     n20 = F.count("c").over(I.rows(w, 20)) >= 20
     df = df.withColumns({
         "atr": F.round(I.sma(F.col("tr"), w, 14), 6), "ret5": c - F.lag("c", 5).over(w), "rsi": I.rsi(F.col("diff"), w, 14, 100.0), "vma": I.sma(F.col("v"), w, 20),
-        "ema8": F.when(F.count("c").over(I.rows(w, 8)) >= 8, I.ema(c, w, 8)), "ema21": F.when(F.count("c").over(I.rows(w, 21)) >= 21, I.ema(c, w, 21)),
+        "ema8": F.when(F.count("c").over(I.rows(w, 8)) >= 8, F.col("ema8")), "ema21": F.when(F.count("c").over(I.rows(w, 21)) >= 21, F.col("ema21")),
         "cci": I.cci(F.col("tp"), w, 20), "bbm": F.when(n20, F.avg("c").over(I.rows(w, 20))), "bbs": F.when(n20, F.stddev_samp("c").over(I.rows(w, 20))), "inside": inside(w), "h2": F.lag("h", 2).over(w), "l2": F.lag("l", 2).over(w),
         **{f"hi{k}": I.full(F.col("h"), w, k, F.max("h").over(I.rows(w, k))) for k in (12, 24, 48)}, **{f"lo{k}": I.full(F.col("l"), w, k, F.min("l").over(I.rows(w, k))) for k in (12, 24, 48)},
     })
-    df = df.withColumn("bbw", 4 * F.col("bbs")).withColumn("bbwma", I.sma(F.col("bbw"), w, 30)).withColumn("_day", F.to_date("t"))
+    df = I.own(df.withColumn("bbw", 4 * F.col("bbs")).withColumn("bbwma", I.sma(F.col("bbw"), w, 30))).withColumn("_day", F.to_date("t"))
     night = night_range(bars).select(F.col("symbol").alias("_ns"), F.col("day").alias("_nd"), F.col("hi").alias("ahi"), F.col("lo").alias("alo"))
     return df.join(night, (F.col("symbol") == F.col("_ns")) & (F.col("_day") == F.col("_nd")), "left").drop("_ns", "_nd")
 
@@ -85,7 +91,7 @@ STRATEGIES = [
 ]
 
 
-def generate(ctx: DataFrame, strategy: str, w: WindowSpec, start: int = 7, end: int = 20, min_prob: float | None = None, **params) -> DataFrame:
+def generate(ctx: DataFrame, strategy: str, start: int = 7, end: int = 20, min_prob: float | None = None, **params) -> DataFrame:
     """(symbol, t, buy, sell): the first signal of each side per symbol and day.
 
     Bars outside hours [start, end), without a positive average range or (with min_prob) below that `prob` are passed over; a side whose level the bar itself touched

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.guards import drawn, drawn_below
+from ..functions.indicators import block_window, in_blocks, own
+
 
 def bracket(signals: DataFrame, bars: DataFrame, hold: int, cost: float) -> DataFrame:
     """Every (signal, side) by itself: fill at the level within the next `hold` bars, then stop or target within `hold` bars of the entry bar, exits from the bar after it.
@@ -14,8 +17,8 @@ def bracket(signals: DataFrame, bars: DataFrame, hold: int, cost: float) -> Data
     bar are one bounded window and everything else is per row. Result: symbol, t, side, entry_i, exit_i, entry, exit, pnl, exit_reason, and for
     other readings of such bars `both` (the exit bar touched stop and target) and `pnl_target` (pnl had the target come first in it).
     """
-    w = Window.partitionBy("symbol").orderBy("t").rowsBetween(1, 2 * hold)
-    ahead = bars.withColumn("n", F.collect_list(F.struct("h", "l", "c")).over(w)).select("symbol", "t", "n")
+    w = block_window("symbol").rowsBetween(1, 2 * hold)
+    ahead = own(in_blocks(bars, ["symbol"], "t", 0, 2 * hold).withColumn("n", F.collect_list(F.struct("h", "l", "c")).over(w))).select("symbol", "t", "n")
     legs = F.array(*(F.struct(F.lit(s).alias("side"), F.col(c).alias("level"), F.lit(k).alias("dir")) for s, c, k in (("long", "buy", 1), ("short", "sell", -1))))
     x = signals.join(ahead, ["symbol", "t"]).select("symbol", "t", "n", "sl_dist", "tp_dist", F.explode(legs).alias("g")).select("symbol", "t", "n", "sl_dist", "tp_dist", "g.*").where("level IS NOT NULL")
     d, level = F.col("dir"), F.col("level")
@@ -36,15 +39,15 @@ def bracket(signals: DataFrame, bars: DataFrame, hold: int, cost: float) -> Data
 
 def bias_modes(b: DataFrame, seed: int = 42) -> DataFrame:
     """(symbol, t, side, mode, pnl): each bracket trade under stop_first, target_first and coin; they differ only where one bar touched both levels."""
-    coin = F.pmod(F.xxhash64("symbol", "t", "side", F.lit(seed)), F.lit(2)) == 0
+    coin = drawn_below(drawn(seed, F.col("symbol"), F.unix_micros("t"), F.col("side")), 2) == 0
     modes = {"stop_first": F.col("pnl"), "target_first": F.col("pnl_target"), "coin": F.when(F.col("both") & coin, F.col("pnl_target")).otherwise(F.col("pnl"))}
     return b.select("symbol", "t", "side", F.explode(F.array(*(F.struct(F.lit(n).alias("mode"), c.alias("pnl")) for n, c in modes.items()))).alias("m")).select("symbol", "t", "side", "m.*")
 
 
 def threshold_long(cands: DataFrame, bars: DataFrame, hold: int, sl: float, tp: float, cost: float) -> DataFrame:
     """Long at the next bar's open; stop (first) or target, by average range, from the entry bar on for `hold` bars, else out at the open of the last of them. cands: symbol, t, atr."""
-    w = Window.partitionBy("symbol").orderBy("t").rowsBetween(1, hold + 1)
-    ahead = bars.withColumn("n", F.collect_list(F.struct("o", "h", "l")).over(w)).select("symbol", "t", "n")
+    w = block_window("symbol").rowsBetween(1, hold + 1)
+    ahead = own(in_blocks(bars, ["symbol"], "t", 0, hold + 1).withColumn("n", F.collect_list(F.struct("o", "h", "l")).over(w))).select("symbol", "t", "n")
     x = cands.join(ahead, ["symbol", "t"]).where(F.size("n") >= hold + 1).withColumn("entry", F.col("n")[0]["o"])
     stop, goal = F.col("entry") - sl * F.col("atr"), F.col("entry") + tp * F.col("atr")
     x = x.withColumns({"si": F.array_position(F.transform("n", lambda b: b["l"] <= stop), True), "ti": F.array_position(F.transform("n", lambda b: b["h"] >= goal), True)})

@@ -263,7 +263,7 @@ def x02(s, d):
     h = written(hours(s, d), "audit-bars")
     cut = h.agg(F.timestamp_seconds((F.min(F.unix_timestamp("t")) + 2 * F.max(F.unix_timestamp("t"))) / 3)).first()[0]
     other = h.where("symbol = 'view'").select("t", F.col("c").alias("other"))
-    return audit.look_ahead(lambda x: FE.assemble(x, other, W0()).withColumn("symbol", F.col("symbol")), h, ["symbol"], "t", ["o", "h", "l", "c"], F.lit(cut))
+    return audit.look_ahead(lambda x: FE.assemble(x, other), h, ["symbol"], "t", ["o", "h", "l", "c"], F.lit(cut))
 
 
 @query("x03_permutation_z")

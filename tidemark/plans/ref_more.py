@@ -14,7 +14,7 @@ from ..operators import metrics as M
 from ..operators import signals as G
 from ..operators import validation as V
 from ..session import table, written
-from .ref_trades import FEATURES, LEAD, T, _fit, _learn, _scored, _wave, pf_sql
+from .ref_trades import FEATURES, LEAD, SIGS, T, _fit, _learn, _scored, _wave, pf_sql
 from .ref_windows import ATR14, TR, W0, with_atr
 from .substrate import HOURS, ORD, TICKS, hours, ticks, trades, w
 
@@ -95,12 +95,12 @@ def e25(s, d):
 def e27(s, d):
     """The 23 features in contract order with both targets, complete rows only."""
     other = hours(s, d).where("symbol = 'view'").select("t", F.col("c").alias("other"))
-    return FE.assemble(hours(s, d), other, W0())
+    return FE.assemble(hours(s, d), other)
 
 
 @query("e28_feature_rows_short")
 def e28(s, d):
-    return FE.assemble_short(hours(s, d), W0())
+    return FE.assemble_short(hours(s, d))
 
 
 @query("h03_bias_correction", T + f", k AS (SELECT strategy, {pf_sql('0.0')} AS pf FROM trades WHERE strategy IS NOT NULL GROUP BY 1) SELECT strategy, round(pf * CASE WHEN strategy LIKE 'ldn%' THEN 0.92 WHEN strategy LIKE 'ny%' THEN 0.95 ELSE 1.0 END, 9) AS pf FROM k")
@@ -123,7 +123,7 @@ def j08(s, d):
 
     h = hours(s, d)
     slow = bars_to_bars(h, ["symbol"], F.window("t", "4 hours")["start"])
-    legs = [G.generate(G.context(x, W0()), "atr_bracket", W0()).withColumn("frame", F.lit(n)) for n, x in (("H1", h), ("H4", slow))]
+    legs = [G.generate(G.context(x), "atr_bracket").withColumn("frame", F.lit(n)) for n, x in (("H1", h), ("H4", slow))]
     return legs[0].unionByName(legs[1])
 
 
@@ -151,21 +151,26 @@ def k09(s, d):
     return t.groupBy("strategy", "fold").agg(F.count(F.lit(1)).alias("n"), R(M.profit_factor(F.col("cents"), "zero"), 9).alias("pf"))
 
 
-@query("k11_hour_shuffle")
+_HEX = " + ".join(f"(strpos('0123456789abcdef', substr(m, {i}, 1)) - 1) * {16 ** (4 - i)}" for i in (1, 2, 3, 4))
+
+
+@query("k11_hour_shuffle", f"""WITH {HOURS}, x AS (SELECT *, md5(symbol || '|' || CAST(epoch_us(t) AS VARCHAR) || '|42') AS m FROM hours), y AS (SELECT symbol, t + to_minutes(CAST(({_HEX}) % 96 * 15 AS INTEGER)) AS t, o, h, l, c, v FROM x)
+ SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY t, v, c) AS INTEGER) AS pos FROM y""")
 def k11(s, d):
     """Bars moved by a seeded number of quarter hours and sorted anew."""
-    step = F.pmod(F.xxhash64("symbol", "t", F.lit(42)), F.lit(96))
+    step = guards.drawn_below(guards.drawn(42, F.col("symbol"), F.unix_micros("t")), 96)
     h = hours(s, d).withColumn("t", F.timestamp_seconds(F.unix_timestamp("t") + step * 900))
     return h.withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy("t", "v", "c")))
 
 
-@query("k14_random_signals")
+@query("k14_random_signals", SIGS + """, cnt AS (SELECT symbol AS s, count(buy) AS nb, count(sell) AS ns FROM g GROUP BY 1), rr AS (SELECT symbol, t, c, atr, row_number() OVER (PARTITION BY symbol ORDER BY md5(symbol || '|' || CAST(epoch_us(t) AS VARCHAR) || '|7')) AS i FROM a WHERE atr > 0)
+ SELECT symbol, t, round(CASE WHEN i <= nb THEN c + 0.3 * atr END, 4) AS buy, round(CASE WHEN i > nb THEN c - 0.3 * atr END, 4) AS sell FROM rr JOIN cnt ON rr.symbol = cnt.s WHERE i <= nb + ns""")
 def k14(s, d):
     """As many signals per symbol and side as the strategy gave, on seeded random bars."""
-    sig = G.generate(G.context(hours(s, d), W0()), "atr_bracket", W0())
+    sig = G.generate(G.context(hours(s, d)), "atr_bracket")
     n = sig.groupBy("symbol").agg(F.count("buy").alias("nb"), F.count("sell").alias("ns"))
-    x = with_atr(s, d).where("atr > 0").withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.xxhash64("symbol", "t", F.lit(7)), "t"))).join(n, "symbol").where("r <= nb + ns")
-    return x.select("symbol", "t", F.when(F.col("r") <= F.col("nb"), F.col("c") + 0.3 * F.col("atr")).alias("buy"), F.when(F.col("r") > F.col("nb"), F.col("c") - 0.3 * F.col("atr")).alias("sell"))
+    x = with_atr(s, d).where("atr > 0").withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(guards.drawn(7, F.col("symbol"), F.unix_micros("t"))))).join(n, "symbol").where("r <= nb + ns")
+    return x.select("symbol", "t", R(F.when(F.col("r") <= F.col("nb"), F.col("c") + 0.3 * F.col("atr")), 4).alias("buy"), R(F.when(F.col("r") > F.col("nb"), F.col("c") - 0.3 * F.col("atr")), 4).alias("sell"))
 
 
 @query("k21_preflight", "SELECT 'quality_audit' AS name, count(*) AS n, count(*) >= 1000 AS ok FROM quality_audit UNION ALL SELECT 'tick_replay', count(*), count(*) >= 100 FROM tick_replay UNION ALL SELECT 'instruments', count(*), count(*) >= 36 FROM instruments")

@@ -46,7 +46,7 @@ def pf_sql(none: str) -> str:
 
 
 def _signals(s, d):
-    g = G.generate(G.context(hours(s, d), W0()), "atr_bracket", W0())
+    g = G.generate(G.context(hours(s, d)), "atr_bracket")
     return g.join(with_atr(s, d).select("symbol", "t", "atr"), ["symbol", "t"]).withColumns({"sl_dist": F.col("atr"), "tp_dist": 2 * F.col("atr")})
 
 
@@ -133,7 +133,13 @@ def h08(s, d):
     return S.threshold_long(c, hours(s, d), 6, 1.0, 2.0, 17.0).select("symbol", "t", "exit_reason", R(F.col("pnl"), 3).alias("pnl"))
 
 
-@query("h09_bias_modes")
+H09 = SIM + """, z AS (SELECT *, dir * (CASE why WHEN 'sl' THEN level - dir * atr WHEN 'tp' THEN level + dir * 2 * atr ELSE coalesce(last, level) END - level) - 15 AS stop, coalesce(si = ti, false) AS tie, 2 * atr - 15 AS goal,
+   strpos('02468ace', substr(md5(symbol || '|' || CAST(epoch_us(t) AS VARCHAR) || '|' || CASE WHEN dir > 0 THEN 'long' ELSE 'short' END || '|42'), 4, 1)) > 0 AS coin FROM y),
+ m AS (SELECT 'stop_first' AS mode, stop AS p FROM z UNION ALL SELECT 'target_first', CASE WHEN tie THEN goal ELSE stop END FROM z UNION ALL SELECT 'coin', CASE WHEN tie AND coin THEN goal ELSE stop END FROM z)
+ SELECT mode, round(coalesce(sum(p) FILTER (p > 0), 0) / -sum(p) FILTER (p < 0), 6) AS pf, count(*) AS trades FROM m GROUP BY 1"""
+
+
+@query("h09_bias_modes", H09)
 def h09(s, d):
     """Outcomes of the same brackets with the stop, the target or a seeded coin deciding bars that touch both."""
     return S.bias_modes(_bracket(s, d)).groupBy("mode").agg(R(M.profit_factor(F.col("pnl"))).alias("pf"), F.count(F.lit(1)).alias("trades"))
@@ -236,13 +242,21 @@ def i08(s, d):
     return trades(s, d).groupBy("book").agg(R(F.count(F.lit(1)) / F.greatest((us(F.max("open_time")) - us(F.min("open_time"))) / 86400 / 30.4375, F.lit(1))).alias("per_month"), R(F.sum("cents") / 1000.0).alias("return_pct"))
 
 
-@query("i09_drawdown_events")
+EVENTS = f"""WITH {TRADES}, {EQ}, s AS (SELECT *, pk - eq AS dd, sum(CASE WHEN pk = eq THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY open_time, log_id ROWS UNBOUNDED PRECEDING) AS seg FROM p WHERE book IS NOT NULL),
+ g AS (SELECT book, seg, min(open_time) AS peak_time, CAST(max(dd) AS DOUBLE) AS depth, arg_min(open_time, (-dd, open_time, log_id)) AS trough_time FROM s GROUP BY 1, 2), l AS (SELECT *, lead(peak_time) OVER (PARTITION BY book ORDER BY seg) AS recovery_time FROM g),
+ ev AS (SELECT book, peak_time, depth, trough_time, recovery_time, CAST(row_number() OVER (PARTITION BY book ORDER BY depth DESC, peak_time, seg) AS INTEGER) AS rank FROM l WHERE depth > 0 QUALIFY rank <= 5),
+ bd AS (SELECT t.book, rank, strategy, CAST(sum(cents) AS BIGINT) AS net, count(*) AS n FROM trades t JOIN ev ON t.book = ev.book AND t.open_time > peak_time AND t.open_time <= trough_time GROUP BY ALL),
+ wb AS (SELECT *, row_number() OVER (PARTITION BY book, rank ORDER BY net, strategy NULLS FIRST) = 1 AS worst, round(CASE WHEN net < 0 THEN net / sum(net) FILTER (net < 0) OVER (PARTITION BY book, rank) END, 6) AS loss_share FROM bd),
+ pt AS (SELECT strategy, count(*) AS events, CAST(sum(net) AS BIGINT) AS net FROM wb WHERE worst GROUP BY 1) """
+
+
+@query("i09_drawdown_events", EVENTS + "SELECT * FROM ev")
 def i09(s, d):
     eq = M.equity(trades(s, d).where("book IS NOT NULL"), ["book"], ["open_time", "log_id"], "cents", 0.0, True)
     return M.drawdown_events(eq, ["book"], ["open_time", "log_id"], 5)
 
 
-@query("i10_event_breakdown")
+@query("i10_event_breakdown", EVENTS + "SELECT * FROM wb")
 def i10(s, d):
     """Losses of each strategy within each drawdown event, from peak to trough, and the worst of them."""
     ev = i09(s, d).select(F.col("book").alias("b"), "rank", "peak_time", "trough_time")
@@ -253,12 +267,12 @@ def i10(s, d):
     return g.select("book", "rank", "strategy", "net", "n", worst.alias("worst"), R(F.when(F.col("net") < 0, F.col("net") / share)).alias("loss_share"))
 
 
-@query("i11_worst_pattern")
+@query("i11_worst_pattern", EVENTS + "SELECT * FROM pt")
 def i11(s, d):
     return i10(s, d).where("worst").groupBy("strategy").agg(F.count(F.lit(1)).alias("events"), F.sum("net").alias("net"))
 
 
-@query("i12_mitigations")
+@query("i12_mitigations", EVENTS + "SELECT strategy, CASE WHEN events >= 10 THEN 'drop ' || strategy WHEN events >= 3 THEN 'halve ' || strategy ELSE 'watch' END AS advice FROM pt")
 def i12(s, d):
     n = F.col("events")
     return i11(s, d).select("strategy", F.when(n >= 10, F.concat_ws(" ", F.lit("drop"), "strategy")).when(n >= 3, F.concat_ws(" ", F.lit("halve"), "strategy")).otherwise("watch").alias("advice"))
@@ -444,13 +458,22 @@ def k12(s, d):
     return table(s, d, "tick_replay").select("trade_id", R(-F.col("pnl_gross") - (F.col("pnl_gross") - guards.number("pnl_net"))).alias("flipped"))
 
 
-@query("k13_relocated_signals")
+SIGS = f"""WITH {HOURS}, {ATR14}, k AS (SELECT symbol, t, h, l, c, c + 0.3 * atr AS b, c - 0.3 * atr AS s FROM a WHERE atr > 0 AND hour(t) >= 7 AND hour(t) < 20),
+ u AS (SELECT symbol, t, c, CASE WHEN h >= b THEN NULL ELSE b END AS b, CASE WHEN l <= s THEN NULL ELSE s END AS s FROM k), n AS (SELECT *, count(b) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t) AS nb, count(s) OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t) AS ns FROM u),
+ g AS (SELECT symbol, t, c, round(CASE WHEN nb = 1 THEN b END, 4) AS buy, round(CASE WHEN ns = 1 THEN s END, 4) AS sell FROM n WHERE (b IS NOT NULL AND nb = 1) OR (s IS NOT NULL AND ns = 1))"""
+_DRAW = "md5(symbol || '|' || CAST(epoch_us(t) AS VARCHAR) || '|{}')"
+
+
+@query("k13_relocated_signals", SIGS + f""", hr AS (SELECT symbol, CAST(t AS DATE) AS day, t, c, row_number() OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY {_DRAW.format(42)}) AS i FROM hours),
+ gr AS (SELECT *, row_number() OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY {_DRAW.format(43)}) AS i FROM g) SELECT gr.symbol, hr.t, round(gr.buy + hr.c - gr.c, 4) AS buy, round(gr.sell + hr.c - gr.c, 4) AS sell FROM gr JOIN hr ON gr.symbol = hr.symbol AND CAST(gr.t AS DATE) = hr.day AND gr.i = hr.i""")
 def k13(s, d):
-    """Each signal moved to a seeded other bar of its symbol and session day, its level by the change of the close."""
-    h = hours(s, d).select("symbol", F.to_date("t").alias("day"), F.col("t").alias("rt"), F.col("c").alias("rc"))
-    x = _signals(s, d).join(hours(s, d).select("symbol", "t", "c"), ["symbol", "t"]).withColumn("day", F.to_date("t")).join(h, ["symbol", "day"])
-    r = x.groupBy("symbol", "t", "buy", "sell", "c").agg(F.min_by(F.struct("rt", "rc"), F.xxhash64("symbol", "t", "rt", F.lit(42))).alias("r"))
-    return r.select("symbol", F.col("r.rt").alias("t"), (F.col("buy") + F.col("r.rc") - F.col("c")).alias("buy"), (F.col("sell") + F.col("r.rc") - F.col("c")).alias("sell"))
+    """Each signal moved to another bar of its symbol and day, its levels by the change of the close: both are put into a drawn order and met by rank, so that no signal is held against all bars."""
+    day = Window.partitionBy("symbol", "day")
+    rank = lambda seed: F.row_number().over(day.orderBy(guards.drawn(seed, F.col("symbol"), F.unix_micros("t"))))
+    h = hours(s, d).select("symbol", F.to_date("t").alias("day"), "t", "c").withColumn("i", rank(42)).select("symbol", "day", "i", F.col("t").alias("rt"), F.col("c").alias("rc"))
+    x = _signals(s, d).join(hours(s, d).select("symbol", "t", "c"), ["symbol", "t"]).withColumn("day", F.to_date("t")).withColumn("i", rank(43)).join(h, ["symbol", "day", "i"])
+    move = F.col("rc") - F.col("c")
+    return x.select("symbol", F.col("rt").alias("t"), R(F.col("buy") + move, 4).alias("buy"), R(F.col("sell") + move, 4).alias("sell"))
 
 
 @query("k15_null_summary")
