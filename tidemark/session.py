@@ -45,9 +45,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, for one written intermediate."""
-    return f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, for one written intermediate. It lasts until `release`, at the latest to the end of this Python process."""
+    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(release)  # registered after the session's own, so it runs before the session ends
+    _MADE.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Delete the intermediates written so far. Results that are not collected or written by then are lost, for they read them."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone: what lies in it cannot be reached any more
+            if path.startswith(("file://", "/")):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
