@@ -13,6 +13,8 @@ from ..session import written
 
 #: Partition edges per block of the prefix scan.
 SCAN_BLOCK = 256
+#: Rows of a range partition, about, where that makes more of them than the session's shuffle partitions.
+ROWS_A_PARTITION = 2_000_000
 ROW = "pid int, edge boolean, e0 string, e1 string, id bigint, t bigint, pt bigint, pid_ bigint, nt bigint, nid bigint"
 
 
@@ -29,6 +31,7 @@ def _scan(batches: Iterator[pa.RecordBatch], tolerance: int | None) -> Iterator[
     schema = pa.schema([("pid", pa.int32()), ("edge", pa.bool_()), ("e0", pa.string()), ("e1", pa.string()), ("id", pa.int64()), ("t", pa.int64()), ("pt", pa.int64()), ("pid_", pa.int64()), ("nt", pa.int64()), ("nid", pa.int64())])
     first = last = None  # right records: (e0, e1, t, id)
     open_: pa.Table | None = None  # rows that wait for the next right record, led by the last right record before them
+    later: list[pa.Table] = []  # batches without a right record that came after them: looked at once one comes
 
     def rows(tab: pa.Table, upto: int, prev, nxt) -> pa.RecordBatch | None:
         side, t, id_ = (tab[c].to_numpy() for c in ("side", "t", "id"))
@@ -90,11 +93,17 @@ def _scan(batches: Iterator[pa.RecordBatch], tolerance: int | None) -> Iterator[
             e = pc.and_(pc.equal(pc.fill_null(tab["e0"], "\0"), pa.scalar(end[0] if end[0] is not None else "\0")), pc.equal(pc.fill_null(tab["e1"], "\0"), pa.scalar(end[1] if end[1] is not None else "\0"))).to_numpy()
             low = int(tab["id"].to_numpy()[r][e[r] & (t[r] == end[2])].min())
             last = (*end[:3], min(low, last[3]) if last and last[:3] == end[:3] else low)
-        if open_ is not None:
-            tab = pa.concat_tables([open_, tab])
+        if tolerance is None and not len(r):
+            later.append(tab)
+            continue
+        if open_ is not None or later:
+            tab = pa.concat_tables([*([open_] if open_ is not None else []), *later, tab])
+            later = []
         out, open_ = handle(tab, False)
         if out is not None:
             yield out
+    if later:
+        open_ = pa.concat_tables([*([open_] if open_ is not None else []), *later])
     if open_ is not None:
         out, _ = handle(open_, True)
         if out is not None:
@@ -135,7 +144,7 @@ def nearest(left: DataFrame, right: DataFrame, by: tuple[str, str], left_time: s
 
     Both tables are range-partitioned together by (entity, time, id), so an entity of any size spreads over as many
     tasks as it fills. Each partition is scanned once, in Arrow batches, holding only the rows that wait for a right record
-    (with a tolerance, only those within it).
+    (with a tolerance, only those within it; without one a stretch of left records between two right ones is held at once).
     The scan's result and one or two edge rows per partition that holds rows are written to the shared folder; a prefix scan over the edges carries the last and first right
     records over partitions without any. Partition ids are in the written rows, so nothing depends on a range split being made twice alike.
     Up to SCAN_BLOCK^2 partitions are scanned in two levels.
@@ -143,10 +152,11 @@ def nearest(left: DataFrame, right: DataFrame, by: tuple[str, str], left_time: s
     e0, e1 = by
     side = lambda df, k, t, i: df.where(F.col(t).isNotNull() & F.col(e0).isNotNull() & F.col(e1).isNotNull()).select(F.col(e0).alias("e0"), F.col(e1).alias("e1"), F.col(t).cast("bigint").alias("t"), F.lit(k).cast("int").alias("side"), F.col(i).cast("bigint").alias("id"))
     spark = left.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written first: the range split reads its rows twice, and times may be dear to parse
+    both = written(side(left, 1, left_time, left_id).unionByName(side(right, 0, right_time, right_id)), "nearest-rows")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), both.count() // ROWS_A_PARTITION + 1)
     if n > SCAN_BLOCK**2:
         raise ValueError(f"more than {SCAN_BLOCK**2} range partitions")
-    both = side(left, 1, left_time, left_id).unionByName(side(right, 0, right_time, right_id))
     order = ["e0", "e1", "t", "side", "id"]
     scanned = both.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _scan(batches, tolerance), ROW)
     scanned = written(scanned, "nearest-scan")
