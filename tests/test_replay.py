@@ -176,3 +176,46 @@ def test_tick_book(spark):
         assert alone[i][0] == want[0] and alone[i][2:] == want[2:] and (want[1] is None or alone[i][1] == pytest.approx(want[1])), (i, alone[i], o)
     got = {r.id: r.balance for r in R.tick_book(df, t, RULES).collect()}
     assert got == pytest.approx(book(found, RULES, False, 0, lambda o: o[0] * (o[2] - o[1]) - o[6] - RULES.cost)) and len(got) > 10
+
+
+def test_night_fade(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators import signals as G
+
+    rows = market(11, 8)
+    b = pd.DataFrame(rows, columns=["u", "h", "l", "c"])
+    b["t"] = pd.to_datetime(b.u, unit="us") + pd.Timedelta(days=19_000)
+    b["o"] = b.c.shift().fillna(b.c)
+    b["v"] = 1
+    m = b.groupby(b.t.dt.floor("15min")).agg(o=("o", "first"), h=("h", "max"), l=("l", "min"), c=("c", "last"))
+    p = m.c.shift().fillna(m.c)
+    m["a"] = np.maximum(m.h - m.l, np.maximum(abs(m.h - p), abs(m.l - p))).rolling(14).mean()
+    m["m"] = m.c.ewm(span=50, adjust=True).mean()
+    m["end"] = m.index + pd.Timedelta(minutes=15)
+    x = pd.merge_asof(b, m[["end", "a", "m"]], left_on="t", right_on="end")
+    want, free, hold = [], -1, 12
+    for i in range(len(x) - hold):
+        r = x.iloc[i]
+        if not (r.t.hour >= 22 or r.t.hour < 7) or i <= free or not r.a > 0 or abs(r.c - r.m) < 2 * r.a:
+            continue
+        k = -1 if r.c > r.m else 1
+        stop, goal = r.c - k * r.a, r.c + k * 1.5 * r.a
+        for j in range(i + 1, i + hold + 1):
+            y = x.iloc[j]
+            if (y.l <= stop) if k > 0 else (y.h >= stop):
+                out, why = stop, "sl"
+                break
+            if (y.h >= goal) if k > 0 else (y.l <= goal):
+                out, why = goal, "tp"
+                break
+        else:
+            out, why = y.c, "timeout"
+        free = j
+        want.append((r.t, "long" if k > 0 else "short", y.t, out, why))
+    df = spark.createDataFrame(b.assign(symbol="a")[["symbol", "t", "o", "h", "l", "c", "v"]])
+    got = sorted((r.t, r.side, r.exit_t, r.exit, r.reason) for r in G.night_fade(df, 2.0, 1.0, 1.5, hold, 0.0).collect())
+    assert len(want) > 5 and [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+    assert G.night_fade(df.limit(0), 2.0, 1.0, 1.5, hold, 0.0).count() == 0

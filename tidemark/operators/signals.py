@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions import indicators as I
+from .bars import bars_to_bars
+from .joins import asof_backward
+from .metrics import greedy_no_overlap
 
 
 
@@ -111,17 +114,42 @@ def generate(ctx: DataFrame, strategy: str, start: int = 7, end: int = 20, min_p
     return df.where("buy IS NOT NULL OR sell IS NOT NULL")
 
 
-def night_fade(bars: DataFrame, w: WindowSpec, stretch: float, hold: int) -> DataFrame:
-    """Night bars whose close is `stretch` average ranges or more from the exponential mean of the bars before, faded, with no new entry within `hold` bars.
+def night_fade(bars: DataFrame, stretch: float, sl: float, tp: float, hold: int, cost: float, start: int = 22, end: int = 7) -> DataFrame:
+    """Trades (symbol, t, side, entry, exit_t, exit, pnl, reason) that fade closes `stretch` average ranges or more from the exponential mean (50) in the night hours, one at a time per symbol.
 
-    The cooldown is a fold over the candidates of one symbol and night, which are few.
+    Mean and average range (14) are those of the last closed quarter hour, carried on to the bars. Stop (first) or target, in average ranges, within `hold` bars, else the close of the last of them;
+    candidates with fewer bars left are passed over. What becomes of a candidate rests on prices alone, so all are followed at once in blocks; those that open before the bar after
+    the last kept one's exit are dropped afterwards.
     """
-    df = bars.withColumns({"tr": I.true_range(w, seed=True), "_pos": F.row_number().over(w)}).withColumns({"atr": I.sma(F.col("tr"), w, 14), "mean": I.ema(F.col("c"), w, 50)})
-    df = df.withColumns({"atr": F.lag("atr").over(w), "mean": F.lag("mean").over(w)})
-    far = (F.col("c") - F.col("mean")) / F.col("atr")
-    h = F.hour("t")
-    cand = df.where(((h >= 22) | (h < 7)) & (F.abs(far) >= stretch)).withColumn("night", F.to_date(F.col("t") - F.expr("interval 7 hours"))).withColumn("side", F.when(far > 0, "short").otherwise("long"))
-    rows = cand.groupBy("symbol", "night").agg(F.array_sort(F.collect_list(F.struct("_pos", "t", "side"))).alias("x"))
-    empty = F.expr("cast(array() as array<struct<_pos:int,t:timestamp,side:string>>)")
-    kept = F.aggregate("x", empty, lambda a, e: F.when((F.size(a) == 0) | (e["_pos"] >= F.element_at(a, -1)["_pos"] + hold), F.concat(a, F.array(e))).otherwise(a))
-    return rows.select("symbol", F.explode(kept).alias("e")).select("symbol", "e.t", "e.side")
+    quarter = F.window("t", "15 minutes")["start"]
+    slow = I.with_ema(I.with_position(bars_to_bars(bars, ["symbol"], quarter), ["symbol"], "t"), ["symbol"], "t", {"mean": ("c", 50)})
+    slow, w = I.in_blocks(slow, ["symbol"], "t", 16), I.block_window("symbol")
+    slow = slow.withColumn("tr", I.true_range(w, seed=True)).withColumn("a15", F.round(I.sma(F.col("tr"), w, 14), 6))
+    slow = I.own(slow).select("symbol", F.col("t").alias("st"), F.round("mean", 4).alias("mean"), "a15")
+    rows = I.with_position(bars.select("symbol", "t", "h", "l", "c"), ["symbol"], "t").withColumn("pos", F.col("_p"))
+    # the last quarter that ended at or before the bar's start
+    rows = _with_quarter(rows, slow)
+    b, wb = I.in_blocks(rows, ["symbol"], "t", 0, hold), I.block_window("symbol")
+    b = I.own(b.withColumn("n", F.collect_list(F.struct("h", "l", "c", "t", "pos")).over(wb.rowsBetween(1, hold))))
+    h, a, far = F.hour("t"), F.col("a15"), F.col("c") - F.col("mean")
+    night = ((h >= start) | (h < end)) if end <= start else ((h >= start) & (h < end))
+    x = b.where(night & (F.size("n") == hold) & (a > 0) & (F.abs(far) >= stretch * a)).withColumn("k", F.when(far > 0, -1).otherwise(1))
+    k, c = F.col("k"), F.col("c")
+    stop, goal = c - k * sl * a, c + k * tp * a
+    first = lambda hit: F.array_position(F.transform("n", hit), True).cast("int")
+    x = x.withColumns({"si": first(lambda y: F.when(k > 0, y["l"] <= stop).otherwise(y["h"] >= stop)), "ti": first(lambda y: F.when(k > 0, y["h"] >= goal).otherwise(y["l"] <= goal))})
+    si, ti = F.col("si"), F.col("ti")
+    x = x.withColumn("reason", F.when((si > 0) & ((ti == 0) | (si <= ti)), "sl").when(ti > 0, "tp").otherwise("timeout"))
+    at = F.when(F.col("reason") == "sl", si).when(F.col("reason") == "tp", ti).otherwise(hold)
+    out = F.when(F.col("reason") == "sl", stop).when(F.col("reason") == "tp", goal).otherwise(F.get("n", F.lit(hold - 1))["c"])
+    x = x.withColumns({"exit": out, "_z": F.get("n", at - 1)})
+    x = x.select("symbol", "t", F.when(k > 0, "long").otherwise("short").alias("side"), c.alias("entry"), F.col("_z.t").alias("exit_t"), "exit", (k * (F.col("exit") - c) - cost).alias("pnl"), "reason", "pos", F.col("_z.pos").alias("_zp"))
+    turn = lambda p: F.timestamp_seconds(p)
+    kept = greedy_no_overlap(x.select("symbol", "pos", turn("pos").alias("_o"), turn(F.col("_zp") + 1).alias("_c")), ["symbol"], "_o", "_c", "pos")
+    return x.join(kept, ["symbol", "pos"], "left_semi").drop("pos", "_zp")
+
+
+def _with_quarter(rows: DataFrame, slow: DataFrame) -> DataFrame:
+    """`rows` with mean and a15 of the last quarter hour that has ended by their start, of any age."""
+    s = slow.withColumn("_end", F.col("st") + F.expr("interval 15 minutes")).withColumn("_o", F.unix_micros("st"))
+    return asof_backward(rows, s, ["symbol"], "t", "_end", ["mean", "a15"], "_o")

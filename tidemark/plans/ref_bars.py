@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import guards
+from ..functions import indicators as I
 from ..operators import bars as B
 from ..operators import joins as J
 from ..session import table
@@ -301,9 +302,12 @@ def d07(s, d):
     return J.within_bars(hours(s, d), ticks(s, d), ["symbol"], "t", "ts", 3600).select("seq", "bar_t")
 
 
-@query("d08_positional", f"WITH {HOURS} SELECT symbol, t, CAST((row_number() {ORD} - 1) // 5 AS BIGINT) AS parent FROM hours")
+@query("d08_positional", f"WITH {HOURS}, p AS (SELECT symbol, t, CAST((row_number() {ORD} - 1) // 5 AS BIGINT) AS parent FROM hours), g AS (SELECT symbol, parent, min(t) AS first, max(t) AS last, count(*) AS n FROM p GROUP BY 1, 2) SELECT p.symbol, p.t, p.parent, g.first, g.last, g.n FROM p JOIN g ON p.symbol = g.symbol AND p.parent = g.parent")
 def d08(s, d):
-    return hours(s, d).select("symbol", "t", F.expr("(row_number() over (partition by symbol order by t) - 1) div 5").alias("parent"))
+    """Every five rows of a series stand for one coarser bar: each row with its parent's number and reach."""
+    p = I.with_position(hours(s, d).select("symbol", "t"), ["symbol"], "t").select("symbol", "t", F.expr("_p div 5").alias("parent"))
+    g = p.groupBy("symbol", "parent").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"))
+    return p.join(g, ["symbol", "parent"]).select("symbol", "t", "parent", "first", "last", "n")
 
 
 NEWS = "n AS (SELECT o_orderdate + INTERVAL 28 YEAR AS e FROM orders WHERE o_orderpriority = '1-URGENT')"

@@ -85,10 +85,17 @@ def d17(s, d):
     return a.join(v.where("report_id % 2 = 1").groupBy("harvester", "k").agg(F.max("pf").alias("q")), ["harvester", "k"])
 
 
-@query("e25_residual_beta", f"WITH {HOURS}, x AS (SELECT symbol, c - lag(c) {ORD} AS y, CAST(v - lag(v) {ORD} AS DOUBLE) AS x FROM hours) SELECT symbol, round(covar_samp(y, x) / var_pop(x), 7) AS beta FROM x WHERE y IS NOT NULL GROUP BY 1")
+_E25 = f"WITH {HOURS}, o AS (SELECT t, c AS x FROM hours WHERE symbol = 'view'), j AS (SELECT symbol, hours.t, x, ln(c) AS y FROM hours JOIN o ON hours.t = o.t WHERE symbol <> 'view'), b AS (SELECT symbol, covar_samp(x, y) / var_pop(y) AS beta FROM j GROUP BY 1), r AS (SELECT j.symbol, t, beta, x - beta * y AS resid FROM j JOIN b ON j.symbol = b.symbol)"
+
+
+@query("e25_residual_beta", _E25 + f" SELECT symbol, t, round(beta, 3) AS beta, round(resid - lag(resid, 5) {ORD}, 3) AS ret_5 FROM r")
 def e25(s, d):
-    x = hours(s, d).select("symbol", (F.col("c") - F.lag("c").over(W0())).alias("y"), (F.col("v") - F.lag("v").over(W0())).cast("double").alias("x")).where("y IS NOT NULL")
-    return x.groupBy("symbol").agg(R(F.covar_samp("y", "x") / F.var_pop("x"), 7).alias("beta"))
+    """Another series less its linear part in the log price (one factor per symbol), and the residual's change over five bars."""
+    h = hours(s, d)
+    x = h.where("symbol <> 'view'").select("symbol", "t", F.ln("c").alias("y")).join(h.where("symbol = 'view'").select("t", F.col("c").alias("x")), "t")
+    b = x.groupBy("symbol").agg((F.covar_samp("x", "y") / F.nullif(F.var_pop("y"), F.lit(0.0))).alias("beta"))
+    r = I.in_blocks(x.join(b, "symbol").withColumn("resid", F.col("x") - F.col("beta") * F.col("y")), ["symbol"], "t", 5)
+    return I.own(r.withColumn("ret_5", R(F.col("resid") - F.lag("resid", 5).over(I.block_window("symbol")), 3))).select("symbol", "t", R(F.col("beta"), 3).alias("beta"), "ret_5")
 
 
 @query("e27_feature_rows")
@@ -110,10 +117,30 @@ def h03(s, d):
     return k.select("strategy", R(F.col("pf") * bias, 9).alias("pf"))
 
 
-@query("h10_hold_check", f"WITH {HOURS} SELECT symbol, CAST(sum(x) AS BIGINT) AS net, count(x) AS n FROM (SELECT symbol, lead(c, 12) {ORD} - c AS x FROM hours) WHERE x IS NOT NULL GROUP BY 1")
+_H10 = f"""WITH {HOURS}, x AS (SELECT symbol, t, lead(c, 12) {ORD} - c AS x, row_number() {ORD} AS pos, count(*) OVER (PARTITION BY symbol) AS n, md5(symbol || '|' || CAST(epoch_us(t) AS VARCHAR) || '|42') AS m FROM hours),
+ r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY m) AS k FROM x WHERE pos > 50 AND pos <= n - 12),
+ y AS (SELECT symbol, m, x, unnest(['long', 'short', 'random']) AS side FROM r WHERE k <= 200), z AS (SELECT symbol, side, CASE WHEN side = 'long' THEN x WHEN side = 'short' THEN -x WHEN strpos('02468ace', substr(m, 4, 1)) > 0 THEN x ELSE -x END AS p FROM y)
+ SELECT symbol, side, count(*) AS n, CAST(sum(p) AS BIGINT) AS net, round(sum(p) FILTER (p > 0) / -sum(p) FILTER (p <= 0), 6) AS pf FROM z GROUP BY 1, 2"""
+
+
+@query("h10_hold_check", _H10)
 def h10(s, d):
-    x = hours(s, d).select("symbol", (F.lead("c", 12).over(W0()) - F.col("c")).alias("x")).where("x IS NOT NULL")
-    return x.groupBy("symbol").agg(F.sum("x").cast("bigint").alias("net"), F.count("x").alias("n"))
+    """Two hundred drawn entries per symbol held for twelve bars without cost, long, short and on a drawn side: about 1 where there is no edge."""
+    x = I.in_blocks(hours(s, d).select("symbol", "t", "c"), ["symbol"], "t", 0, 12)
+    x = x.withColumn("x", F.lead("c", 12).over(I.block_window("symbol")) - F.col("c")).where("NOT _extra AND _p >= 50 AND x IS NOT NULL")
+    m = guards.drawn(42, F.col("symbol"), F.unix_micros("t"))
+    x = x.withColumn("m", m).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("m"))).where("k <= 200")
+    flip = F.when(guards.drawn_below(F.col("m"), 2) == 0, F.col("x")).otherwise(-F.col("x"))
+    sides = F.array(*(F.struct(F.lit(n).alias("side"), v.alias("p")) for n, v in (("long", F.col("x")), ("short", -F.col("x")), ("random", flip))))
+    z = x.select("symbol", F.explode(sides).alias("z")).select("symbol", "z.*")
+    p = F.col("p")
+    return z.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("n"), F.sum(p).cast("bigint").alias("net"), R(F.sum(F.when(p > 0, p)) / -F.sum(F.when(p <= 0, p))).alias("pf"))
+
+
+@query("h10_buy_hold", f"WITH {HOURS} SELECT symbol, arg_min(c, t) AS first, arg_max(c, t) AS last, round((arg_max(c, t) - arg_min(c, t)) / arg_min(c, t) * 100, 6) AS pct FROM hours GROUP BY 1")
+def h10b(s, d):
+    first, last = F.min_by("c", "t"), F.max_by("c", "t")
+    return hours(s, d).groupBy("symbol").agg(first.alias("first"), last.alias("last"), R((last - first) / first * 100).alias("pct"))
 
 
 @query("j08_legs_by_frame")
@@ -145,9 +172,10 @@ def k02(s, d):
     return n.select("book", "n", F.greatest(F.lit(2), F.least(F.greatest(F.lit(2), F.expr("n div 4")), raw)).cast("int").alias("block"))
 
 
-@query("k09_fixed_folds", T + f", f AS (SELECT * FROM (VALUES ('2022', DATE '2022-01-01', DATE '2023-01-01'), ('2023', DATE '2023-01-01', DATE '2024-01-01'), ('2024', DATE '2024-01-01', DATE '2025-01-01'), ('2025', DATE '2025-01-01', DATE '2026-01-01')) AS v(fold, a, z)) SELECT strategy, fold, count(*) AS n, round({pf_sql('0.0')}, 9) AS pf FROM trades JOIN f ON CAST(open_time AS DATE) >= a AND CAST(open_time AS DATE) < z WHERE strategy IS NOT NULL GROUP BY 1, 2")
+@query("k09_fixed_folds", T + f" SELECT strategy, CAST(year(open_time) AS INTEGER) AS fold, count(*) AS n, round({pf_sql('0.0')}, 9) AS pf FROM trades WHERE strategy IS NOT NULL GROUP BY 1, 2")
 def k09(s, d):
-    t = trades(s, d).where("strategy IS NOT NULL").withColumn("fold", F.year("open_time").cast("string")).where("fold BETWEEN '2022' AND '2025'")
+    """A fold for each calendar year of the log."""
+    t = trades(s, d).where("strategy IS NOT NULL").withColumn("fold", F.year("open_time"))
     return t.groupBy("strategy", "fold").agg(F.count(F.lit(1)).alias("n"), R(M.profit_factor(F.col("cents"), "zero"), 9).alias("pf"))
 
 
@@ -275,12 +303,17 @@ def x01(s, d):
 
 
 VW = "OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t ROWS UNBOUNDED PRECEDING)"
+_V20 = "OVER (PARTITION BY symbol, CAST(t AS DATE) ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 
 
-@query("x04_anchored_vwap", f"WITH {HOURS} SELECT symbol, t, round(sum((h + l + c) * v) {VW} / (3 * sum(v) {VW}), 6) AS vwap FROM hours")
+@query("x04_anchored_vwap", f"WITH {HOURS}, a AS (SELECT symbol, t, c, sum((h + l + c) * v) {VW} / (3 * sum(v) {VW}) AS vwap FROM hours), b AS (SELECT symbol, t, vwap, stddev_samp(c - vwap) {_V20} AS sd FROM a) SELECT symbol, t, round(vwap, 4) AS vwap, round(vwap + 2 * sd, 3) AS upper, round(vwap - 2 * sd, 3) AS lower FROM b")
 def x04(s, d):
-    day = Window.partitionBy("symbol", F.to_date("t")).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return hours(s, d).select("symbol", "t", R(F.sum((F.col("h") + F.col("l") + F.col("c")) * F.col("v")).over(day) / (3 * F.sum("v").over(day))).alias("vwap"))
+    """Volume-weighted mean price since the day's start, and two deviations (of the last 20 bars of the day) about it."""
+    day = Window.partitionBy("symbol", F.to_date("t")).orderBy("t")
+    so_far = day.rowsBetween(Window.unboundedPreceding, 0)
+    x = hours(s, d).withColumn("vwap", F.sum((F.col("h") + F.col("l") + F.col("c")) * F.col("v")).over(so_far) / (3 * F.sum("v").over(so_far)))
+    x = x.withColumn("sd", F.stddev_samp(F.col("c") - F.col("vwap")).over(day.rowsBetween(-19, 0)))
+    return x.select("symbol", "t", R(F.col("vwap"), 4).alias("vwap"), R(F.col("vwap") + 2 * F.col("sd"), 3).alias("upper"), R(F.col("vwap") - 2 * F.col("sd"), 3).alias("lower"))
 
 
 @query("x06_round_numbers", f"WITH {HOURS} SELECT symbol, t, round(c / 500) * 500 AS level FROM (SELECT *, lag(h) {ORD} AS ph FROM hours) WHERE h > round(c / 500) * 500 AND c < round(c / 500) * 500 AND ph <= round(c / 500) * 500")

@@ -629,11 +629,12 @@ def m04(s, d):
     return table(s, d, "wave_results").where("label IS NOT NULL").select("report_id", g(r"h(\d\d)-(\d\d)").alias("h0"), g(r"h(\d\d)-(\d\d)", 2).alias("h1"), g(r"\.v(\d+)").alias("vt"), g(r"\.l(\d+)").alias("sl"))
 
 
-@query("m05_key_values", "SELECT event_id, regexp_extract(props, '\"k\": (-?\\d+)', 1) AS k FROM events")
+@query("m05_key_values", """WITH p AS (SELECT event_id, unnest(regexp_extract_all(props, '"(\\w+)": ("[^"]*"|[^,}]*)', 1)) AS key, unnest(regexp_extract_all(props, '"(\\w+)": ("[^"]*"|[^,}]*)', 2)) AS value FROM events WHERE props IS NOT NULL) SELECT event_id, key, trim(value, '"') AS value FROM p""")
 def m05(s, d):
-    """key: value pairs of a block of text as a map, here the event properties."""
-    pairs = lambda i: F.regexp_extract_all("props", F.lit(r'"(\w+)": (-?\d+)'), F.lit(i))
-    return table(s, d, "events").select("event_id", F.coalesce(F.map_from_arrays(pairs(1), pairs(2))["k"], F.lit("")).alias("k"))
+    """key: value pairs of a block of text as a map, here all the event properties, a row for each."""
+    pairs = lambda i: F.regexp_extract_all("props", F.lit(r'"(\w+)": ("[^"]*"|[^,}]*)'), F.lit(i))
+    e = table(s, d, "events").where("props IS NOT NULL").select("event_id", F.explode(F.map_from_arrays(pairs(1), pairs(2))))
+    return e.select("event_id", "key", F.trim(F.col("value"), F.lit('"')).alias("value"))
 
 
 @query("m06_strip_tags", "SELECT report_id, trim(regexp_replace(regexp_replace('<td> ' || label || ' </td>  <b>' || symbol || '</b>', '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS txt FROM wave_results")

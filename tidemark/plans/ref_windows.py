@@ -10,7 +10,7 @@ from ..functions.calendar import sessions
 from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import signals as G
-from .substrate import FIVES, HOURS, ORD, WALK, fives, hours, over, w, walk_hours
+from .substrate import FIVES, HOURS, ORD, WALK, fives, hours, over, w, walk_fives, walk_hours
 
 QUERIES, SQL = {}, {}
 W0 = over
@@ -355,7 +355,8 @@ for _n in G.STRATEGIES:
 
 @query("g28_night_fade")
 def g28(s, d):
-    return G.night_fade(hours(s, d), W0(), 1.0, 5)
+    """Night fades of five-minute bars of the walk, with their exits."""
+    return G.night_fade(walk_fives(s, d), 2.0, 1.0, 1.5, 12, 15.0)
 
 
 @query("g29_threshold", f", p AS (SELECT symbol, t, round((c - l) / nullif(h - l, 0), 6) AS prob FROM hours) SELECT symbol, t, thr, prob > thr AS strict, prob >= thr AS loose FROM p, (SELECT unnest([0.5, 0.75, 0.9]) AS thr) WHERE prob >= thr")

@@ -50,9 +50,18 @@ FIVES = (
 
 def walk_hours(spark, sf_dir) -> DataFrame:
     """Hourly bars of a random walk made of the ticks (each moves the price by up to 100 points), so that prices trend, as in a market: symbol, t, o, h, l, c, v."""
+    return _walk(spark, sf_dir, F.date_trunc("hour", "ts"))
+
+
+def walk_fives(spark, sf_dir) -> DataFrame:
+    """Five-minute bars of the same walk."""
+    return _walk(spark, sf_dir, F.window("ts", "5 minutes")["start"])
+
+
+def _walk(spark, sf_dir, bucket) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.round(F.col("value") * 100).cast("bigint") % 201 - 100).alias("step"))
     k = equity(e.where("symbol IS NOT NULL"), ["symbol"], ["ts", "seq"], "step").select("symbol", "ts", "seq", (110000 + F.col("equity")).alias("pts"))
-    b = B.ticks_to_bars(k, SERIES, "ts", "seq", "pts", F.date_trunc("hour", "ts"))
+    b = B.ticks_to_bars(k, SERIES, "ts", "seq", "pts", bucket)
     return b.select("symbol", "t", *(F.col(x).cast("double").alias(x) for x in "ohlc"), "v")
 
 
