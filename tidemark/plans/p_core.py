@@ -90,3 +90,17 @@ SQL: dict[str, str] = {
  SELECT book, strategy, 'period' AS kind, min(s) // 1000 AS from_ms, max(e) // 1000 AS to_ms FROM g GROUP BY book, strategy, k
  UNION ALL SELECT book, strategy, 'gap', m // 1000, s // 1000 FROM f WHERE n = 1 AND m IS NOT NULL""",
 }
+
+_CELLS = " UNION ALL ".join(f"SELECT harvester, load_no, '{c}' AS column_name, {c} AS value FROM wave_results" for c in ("profit_factor", "max_dd_pct", "total_trades"))
+_PROFILE = f"""WITH u AS ({_CELLS}), j AS (SELECT u.*, r.min_value AS lo, r.max_value AS hi, coalesce(regexp_full_match(value, value_pattern), false) AS ok FROM u JOIN column_rules r ON r.column_name = u.column_name),
+ k AS (SELECT *, CASE WHEN ok THEN try_cast(value AS DOUBLE) END AS num FROM j),
+ q AS (SELECT harvester, load_no, column_name, count(*) AS rows, count_if(value IS NULL) AS nulls, count(DISTINCT value) AS distinct_values, count_if(value IS NOT NULL AND NOT ok) AS pattern_violations, count_if(num < lo OR num > hi) AS range_violations,
+   min(num) AS min_value, max(num) AS max_value, count(DISTINCT num) AS distinct_numbers, count(num) AS matching, list_sort(list(num) FILTER (num IS NOT NULL)) AS xs FROM k GROUP BY 1, 2, 3),
+ p AS (SELECT * EXCLUDE (xs), (xs[(len(xs) + 1) // 2] + xs[len(xs) // 2 + 1]) / 2 AS median FROM q) """
+SQL |= {
+    "p6_profile": _PROFILE + "SELECT * FROM p",
+    "p6_found": _PROFILE + """, b AS (SELECT p.*, q.nulls AS bn, q.rows AS br, q.median AS bm, q.distinct_numbers AS bd FROM p LEFT JOIN p q ON q.harvester IS NOT DISTINCT FROM p.harvester AND q.column_name = p.column_name AND q.load_no = p.load_no - 1)
+ SELECT harvester, load_no, column_name, 'pattern' AS finding FROM b WHERE pattern_violations > 0 UNION ALL SELECT harvester, load_no, column_name, 'range' FROM b WHERE range_violations > 0
+ UNION ALL SELECT harvester, load_no, column_name, 'nulls' FROM b WHERE nulls / rows - bn / br > 0.10 UNION ALL SELECT harvester, load_no, column_name, 'shift' FROM b WHERE greatest(median, bm) > least(median, bm) * 1.5 AND median IS NOT NULL AND bm IS NOT NULL
+ UNION ALL SELECT harvester, load_no, column_name, 'distinct' FROM b WHERE distinct_numbers / rows < 0.5 * (bd / br)""",
+}

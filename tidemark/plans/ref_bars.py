@@ -239,7 +239,10 @@ def c18(s, d):
     return table(s, d, "tick_replay").select("trade_id", guards.safe_div(F.col("pnl_net"), F.col("pnl_gross")).alias("ratio"), F.round(guards.safe_log(F.col("entry_price")), 9).alias("lg"))
 
 
-@query("c20_symbol_hash")
+_FNV = "CAST(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(symbol, ''), lambda each: ascii(each)::HUGEINT)), lambda h, x: (xor(h, x) * 16777619::HUGEINT) % 4294967296::HUGEINT) AS BIGINT)"
+
+
+@query("c20_symbol_hash", f"SELECT symbol, {_FNV} AS hash, 770000 + {_FNV} % 1000 AS magic FROM instruments")
 def c20(s, d):
     return table(s, d, "instruments").select("symbol", guards.fnv1a32(F.col("symbol")).alias("hash"), (F.lit(770000) + guards.fnv1a32(F.col("symbol")) % 1000).alias("magic"))
 
