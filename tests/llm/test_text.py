@@ -40,6 +40,12 @@ def test_borders_match_merging():
         assert e.borders_hold(e.ids[a.encode()], e.ids[b.encode()]) == (ref(a + b) == [e.ids[a.encode()], e.ids[b.encode()]])
 
 
+def test_every_entry_is_reached():
+    """Each entry of the vocabulary comes out of the dynamic programming as itself alone."""
+    e = bpe.Encoder()
+    assert len(e.ids) > 50_000 and all(e.by_prefixes(raw) == [i] for raw, i in e.ids.items())
+
+
 def docs(n=400):
     random.seed(9)
     subj, verb, tail = ["The spread", "My broker", "This tool", "The alert panel", "Our desk"], ["held up", "froze", "dropped", "works", "opened three trades"], ["during the London open", "after the last update", "on a demo account", "within an hour", "for no visible reason"]

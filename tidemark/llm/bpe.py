@@ -70,23 +70,26 @@ class Encoder:
             self.borders[key] = holds
         return holds
 
+    def by_prefixes(self, raw: bytes) -> list[int]:
+        """Ids of the bytes of a word: the last token of each prefix, followed back from the end."""
+        last, length = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)
+        for end, (token, n) in self.tokens.iter(raw.decode("latin-1")):
+            end += 1
+            if last[end] < 0 and (n == end or (last[end - n] >= 0 and self.borders_hold(last[end - n], token))):
+                last[end], length[end] = token, n
+        ids, at = [], len(raw)
+        while at:
+            ids.append(last[at])
+            at -= length[at]
+        ids.reverse()
+        return ids
+
     def word(self, text: str) -> list[int]:
         if (ids := self.known.get(text)) is not None:
             return ids
         raw = text.encode("utf-8")
-        if (whole := self.ids.get(raw)) is not None:
-            ids = [whole]
-        else:
-            last, length = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)
-            for end, (token, n) in self.tokens.iter(raw.decode("latin-1")):
-                end += 1
-                if last[end] < 0 and (n == end or (last[end - n] >= 0 and self.borders_hold(last[end - n], token))):
-                    last[end], length[end] = token, n
-            ids, at = [], len(raw)
-            while at:
-                ids.append(last[at])
-                at -= length[at]
-            ids.reverse()
+        # merging reaches every entry of the vocabulary (tested for all of them), so an entry is its own id
+        ids = [whole] if (whole := self.ids.get(raw)) is not None else self.by_prefixes(raw)
         if len(self.known) >= CACHE:
             self.known.clear()
         if len(text) < 64:
