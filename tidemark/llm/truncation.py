@@ -20,6 +20,8 @@ SHORT_BY = 12
 #: Weight of an artificially cut text against an intact one in the fit: cuts are rarer in a corpus than among the training rows.
 CUT_WEIGHT = 0.2
 N_KEYS = 6
+#: A closing sentence of up to OPENING words that so many other texts (equal ones of a source count once) end with, and of all in which it occurs this share, is a set phrase.
+PHRASE_TEXTS, PHRASE_SHARE = 2, 0.9
 #: Openings of a sentence of up to so many words have a key of their own.
 OPENING = 5
 #: Closing words kept of a text (one more than OPENING, to see where a sentence opened).
@@ -97,6 +99,12 @@ def length_limits(docs: DataFrame) -> DataFrame:
     return hard.select("source", "unit", "length", F.lit(False).alias("soft")).unionByName(soft.select("source", "unit", "length", F.lit(True).alias("soft")))
 
 
+def set_phrase() -> Column:
+    """Of a row of `_with_counts`: its closing sentence is a set phrase. A fit on texts with full stops cannot know those, for they come without."""
+    total, ended = F.col("s")[5]["total"] - F.col("off_total"), F.col("s")[5]["ended"] - F.col("off_ended")
+    return F.coalesce((ended >= PHRASE_TEXTS) & (ended >= PHRASE_SHARE * total), F.lit(False))
+
+
 def _features(df: DataFrame) -> DataFrame:
     """Rows with tail (up to TAIL words), at_limit (2: at one, 1: shortly before one, 0), off_total, off_ended (what the row itself adds to its counts) and s (counts of its keys) -> `features`."""
     last = F.element_at("tail", -1)
@@ -174,7 +182,8 @@ def training_rows(intact: DataFrame, limits: DataFrame) -> DataFrame:
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, source, score, cut, tail, at_limit) of every document: the probability that its text was cut before its writer ended it.
 
-    docs: doc_id, source, text. Null, empty and blank texts and those without a letter or digit have score 0. Repeated texts have the same score if their source's limits agree. Null sources
+    docs: doc_id, source, text. Null, empty and blank texts and those without a letter or digit have score 0. Repeated texts have the same score if their source's limits agree;
+    a set phrase (`set_phrase`) off every limit has score 0. Null sources
     form a source of their own. Without intact texts to learn from every score is 0.
 
     Whole texts are read for the counts of sentence endings and the length limits of each source, over all documents. The classifier is a
@@ -210,8 +219,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     model = LogisticRegression(maxIter=60, regParam=0.0005, labelCol="label", featuresCol="features", probabilityCol="p", weightCol="weight").fit(train.select("features", "label", F.when(F.col("label") == 1, CUT_WEIGHT).otherwise(1.0).alias("weight")))
     tail = F.slice("words", F.greatest(F.size("words") - TAIL + 1, F.lit(1)), TAIL)
     rows = sized.where(F.exists("words", lambda x: x.rlike(r"[\p{L}\p{N}]"))).select("doc_id", "source", tail.alias("tail"), "at_limit", F.lit(1).alias("off_total"), F.lit(1).alias("off_ended"))
-    scored = model.transform(_features(_with_counts(rows, counts, ["doc_id"])))
-    scored = scored.select(F.col("doc_id").alias("_d"), vector_to_array("p")[1].alias("_s"), "tail", "at_limit")
+    scored = model.transform(_features(_with_counts(rows, counts, ["doc_id"]).withColumn("_set", set_phrase() & (F.col("at_limit") == 0))))
+    scored = scored.select(F.col("doc_id").alias("_d"), F.when(F.col("_set"), 0.0).otherwise(vector_to_array("p")[1]).alias("_s"), "tail", "at_limit")
     out = df.join(scored, F.col("doc_id") == F.col("_d"), "left").withColumn("score", F.coalesce("_s", F.lit(0.0)))
     return out.select("doc_id", "source", "score", (F.col("score") > THRESHOLD).alias("cut"), "tail", "at_limit")
 
